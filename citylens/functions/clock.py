@@ -24,8 +24,8 @@ def parse_clock(col: Column | str, lenient: bool = False) -> Column:
         return F.hour(ts)
     text = F.upper(F.trim(c))
     shaped = text.rlike("^[0-9]{4}[AP]$")
-    hh = F.substring(text, 1, 2).cast("int")
-    mm = F.substring(text, 3, 2).cast("int")
+    hh = F.substring(text, 1, 2).try_cast("int")
+    mm = F.substring(text, 3, 2).try_cast("int")
     half = F.substring(text, 5, 1)
     ok = shaped & (hh <= 23) & (mm <= 59)
     return (
