@@ -7,6 +7,7 @@ from citylens.operators.columns import (
     normalize_name,
     select_range,
     shape_report,
+    with_date_parts,
 )
 from citylens.operators.compare import compare_years, stack_years
 from citylens.operators.frequency import (

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citylens.functions.dates import parse_date
 from citylens.functions.missing import is_missing
 
 
@@ -63,3 +64,16 @@ def shape_report(df: DataFrame) -> DataFrame:
     info = spark.createDataFrame(meta, "position int, column string, type string")
     n_rows = df.select(F.count(F.lit(1))).scalar()
     return info.withColumn("n_rows", n_rows).withColumn("n_cols", F.lit(len(meta)))
+
+
+def with_date_parts(
+    df: DataFrame, col: str, fmt: str = "M/d/yyyy", date: str | None = None, year: str = "year", month: str = "month"
+) -> DataFrame:
+    """Parse date text once (``MM/dd/yyyy`` by default, bad text -> NULL) and add its year and month.
+
+    ``date`` names a column for the parsed date (omit to keep only the parts).
+    """
+    parsed = parse_date(col, fmt)
+    out = df.withColumn(date, parsed) if date else df
+    src = F.col(date) if date else parsed
+    return out.withColumn(year, F.year(src)).withColumn(month, F.month(src))

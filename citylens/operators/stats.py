@@ -59,10 +59,17 @@ def summary_percentiles(
     return agg.select(*keys, "avg", *[F.col("__q")[i].alias(_pname(p)) for i, p in enumerate(ps)])
 
 
-def mean_vs_median(df: DataFrame, col: str) -> DataFrame:
-    """Is the mean representative?  (mean, median, ratio = mean / median)."""
+def mean_vs_median(df: DataFrame, col: str, exact: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Is the mean representative?  (mean, median, ratio = mean / median).
+
+    Default median: ``percentile_approx`` (bounded memory per group).
+    ``exact=True`` interpolates like ``percentile``; it holds every
+    distinct value of the column, so keep it for bounded domains (money in
+    cents, counts).
+    """
     c = F.col(col)
-    return df.agg(F.avg(c).alias("mean"), F.median(c).alias("median")).withColumn(
+    med = F.median(c) if exact else F.percentile_approx(c, 0.5, accuracy)
+    return df.agg(F.avg(c).alias("mean"), med.cast("double").alias("median")).withColumn(
         "ratio", F.try_divide(F.col("mean"), F.col("median"))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylens.functions import parse_clock, parse_date, season, time_bin
+from citylens.functions import parse_clock, season, time_bin
 from citylens.functions.missing import TEXT_SENTINELS
 from citylens.operators import (
     clean_period,
@@ -29,6 +29,7 @@ from citylens.operators import (
     top_groups,
     top_k_per_group,
     top_n,
+    with_date_parts,
 )
 from citylens.operators import top_revenue_code as top_revenue_code_op
 from citylens.plans import params as P
@@ -240,8 +241,8 @@ def top_codes_per_season(spark, sf):
 def date_parts(spark, sf):
     # The ticket file carries the date as MM/dd/yyyy text: parse it once, then take the parts.
     t = _tickets(spark, sf).select(F.date_format("issue_ts", "MM/dd/yyyy").alias("issue_date"))
-    d = t.select(parse_date("issue_date").alias("d"))
-    return count_by(d, [F.year("d").alias("issue_year"), F.month("d").alias("issue_month")])
+    d = with_date_parts(t, "issue_date", year="issue_year", month="issue_month")
+    return count_by(d, ["issue_year", "issue_month"])
 
 
 # -- revenue and years -----------------------------------------------------

@@ -81,3 +81,9 @@ def fines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("p_size").alias("violation_code")).agg(
         F.min("p_retailprice").alias("fine_zone_a"), F.max("p_retailprice").alias("fine_zone_b")
     )
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """Register the views as session temp views (``trips``, ``tickets``, ``clock_tickets``, ``fines``) for ``spark.sql``."""
+    for name, build in (("trips", trips), ("tickets", tickets), ("clock_tickets", clock_tickets), ("fines", fines)):
+        build(spark, sf_dir).createOrReplaceTempView(name)
