@@ -15,11 +15,13 @@ from citylens.operators.frequency import (
     common_items,
     count_by,
     freq_within_top_groups,
+    pair_counts,
     percent_share,
     rank_within,
     stacked_counts,
     top_bins_for_top_items,
     top_groups,
+    top_groups_of,
     top_k_per_group,
     top_n,
 )

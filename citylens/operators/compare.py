@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylens.operators._common import as_list
@@ -22,24 +22,21 @@ def stack_years(frames: Mapping[int, DataFrame], year_col: str = "year") -> Data
 
 
 def compare_years(df: DataFrame, year: Column | str, metrics: Mapping[str, Column], by=None, year_col: str = "year") -> DataFrame:
-    """Metrics per year (and group) with the change from the previous year.
+    """Metrics per year (and group) with the change from the previous calendar year.
 
     Output: by..., year, metric..., ``<metric>_change`` (NULL when the
-    previous year is absent).  The previous year comes from a join of the
-    aggregated rows with themselves shifted by one year.
+    previous year is absent).  The data is aggregated once; the previous
+    year's value is read with a ``RANGE BETWEEN 1 PRECEDING AND 1
+    PRECEDING`` window over the aggregated rows (one row per group and
+    year), partitioned by the groups.
     """
     keys = as_list(by)
     y = F.col(year) if isinstance(year, str) else year
     agg = df.groupBy(*keys, y.alias(year_col)).agg(*[m.alias(n) for n, m in metrics.items()])
-    prev = agg.select(
-        *keys,
-        (F.col(year_col) + F.lit(1)).alias(year_col),
-        *[F.col(n).alias(f"__prev_{n}") for n in metrics],
-    )
-    joined = agg.join(prev, on=[*keys, year_col], how="left")
-    return joined.select(
+    w = Window.partitionBy(*keys).orderBy(F.col(year_col)).rangeBetween(-1, -1)
+    return agg.select(
         *keys,
         year_col,
         *metrics,
-        *[(F.col(n) - F.col(f"__prev_{n}")).alias(f"{n}_change") for n in metrics],
+        *[(F.col(n) - F.max(n).over(w)).alias(f"{n}_change") for n in metrics],
     )

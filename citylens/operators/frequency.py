@@ -91,9 +91,25 @@ def top_groups(df: DataFrame, group: str, k: int = 3, exclude: Iterable | None =
     return top_n(df, group, k, exclude).select(group)
 
 
-def _in_top_groups(df: DataFrame, group: str, k: int, exclude) -> DataFrame:
-    # The top table has at most k rows: a proven bound, so broadcast it.
-    return df.join(F.broadcast(top_groups(df, group, k, exclude)), on=group, how="left_semi")
+def pair_counts(df: DataFrame, group: str, item: str, name: str = "count") -> DataFrame:
+    """Rows per (group, item): the one pass over the raw rows that the busiest-group operators share."""
+    return count_by(df, [group, item], name=name)
+
+
+def top_groups_of(pairs: DataFrame, group: str, k: int, name: str = "count") -> DataFrame:
+    """The ``k`` busiest groups, from (group, item, count) rows instead of the raw rows."""
+    totals = pairs.groupBy(group).agg(F.sum(name).alias(name))
+    return totals.orderBy(F.desc(name), F.asc(group)).limit(k).select(group)
+
+
+def _pairs_in_top_groups(pairs: DataFrame, group: str, k: int, name: str = "count") -> DataFrame:
+    # The top table has at most k rows (a proven bound), so it is the broadcast side.  Both
+    # branches read the same aggregated pairs -- excluded groups were dropped before counting,
+    # so the two sub-plans are identical and Spark reuses their shuffle: the raw rows are
+    # scanned once.  The top keys are unique, so an inner join keeps exactly the rows a semi
+    # join would; unlike a semi join it is not pushed below the aggregate, which would turn
+    # the reuse into a second scan.
+    return pairs.join(F.broadcast(top_groups_of(pairs, group, k, name)), on=group, how="inner")
 
 
 def freq_within_top_groups(
@@ -106,8 +122,11 @@ def freq_within_top_groups(
     name: str = "count",
 ) -> DataFrame:
     """Item frequencies inside the ``k`` busiest groups, per group or pooled."""
-    keys = [item] if pooled else [group, item]
-    return count_by(_in_top_groups(df, group, k, exclude), keys, name=name)
+    pairs = pair_counts(exclude_values(df, group, exclude), group, item, name)
+    inside = _pairs_in_top_groups(pairs, group, k, name)
+    if pooled:
+        return inside.groupBy(item).agg(F.sum(name).alias(name))
+    return inside
 
 
 def common_items(
@@ -122,9 +141,9 @@ def common_items(
 
     Output: item, ``groups`` (= number of top groups), ``count`` (summed over them).
     """
-    tops = top_groups(df, group, k, exclude)
-    ranked = rank_within(count_by(df.join(F.broadcast(tops), on=group, how="left_semi"), [group, item]), group, per_group)
-    n_top = tops.select(F.count(F.lit(1))).scalar()
+    pairs = pair_counts(exclude_values(df, group, exclude), group, item)
+    n_top = top_groups_of(pairs, group, k).select(F.count(F.lit(1))).scalar()
+    ranked = rank_within(_pairs_in_top_groups(pairs, group, k), group, per_group)
     return (
         ranked.groupBy(item)
         .agg(F.count_distinct(group).alias("groups"), F.sum("count").alias("count"))
@@ -144,18 +163,28 @@ def top_bins_for_top_items(
 
     Output: item, bin, count, rank.
     """
-    subset = df.join(F.broadcast(top_groups(df, item, k, exclude)), on=item, how="left_semi")
-    return rank_within(count_by(subset, [item, bin_col]), item, per_item)
+    pairs = pair_counts(exclude_values(df, item, exclude), item, bin_col)
+    return rank_within(_pairs_in_top_groups(pairs, item, k), item, per_item)
 
 
-def stacked_counts(df: DataFrame, group: str, item: str, name: str = "count", share: str = "share") -> DataFrame:
+def stacked_counts(
+    df: DataFrame,
+    group: str,
+    item: str,
+    k: int | None = None,
+    exclude: Iterable | None = (0, None),
+    name: str = "count",
+    share: str = "share",
+) -> DataFrame:
     """Chart-ready stacked bars: count of each item within each group and its percent of the group.
 
     Replaces pulling raw rows to the client for plotting; only
-    ``#groups x #items`` rows come out.
+    ``#groups x #items`` rows come out.  ``k`` keeps the ``k`` busiest
+    groups only.
     """
-    counts = count_by(df, [group, item], name=name)
+    if k is None:
+        counts = pair_counts(df, group, item, name)
+    else:
+        counts = _pairs_in_top_groups(pair_counts(exclude_values(df, group, exclude), group, item, name), group, k, name)
     w = Window.partitionBy(group)
     return counts.withColumn(share, F.col(name).cast("double") * F.lit(100.0) / F.sum(name).over(w).cast("double"))
-
-

@@ -130,11 +130,20 @@ def avg_speed_vs_overall(
 ) -> DataFrame:
     """Per-group average speed next to the overall one: (by..., avg_speed, overall_speed, diff).
 
-    The overall value is a scalar subquery (one aggregate row), so there is
-    no cross join.
+    One pass: per-group sums and counts of the speed; the overall average is
+    a scalar subquery over those few aggregated rows (reusing their
+    shuffle), so there is neither a second scan nor a cross join.
     """
-    per_group = avg_speed(df, by, distance, start, end, where, min_seconds)
-    overall = avg_speed(df, None, distance, start, end, where, min_seconds).scalar()
-    return per_group.withColumn("overall_speed", overall).withColumn(
-        "diff", F.col("avg_speed") - F.col("overall_speed")
+    src = _speed_rows(df, distance, start, end, where, min_seconds)
+    speed = speed_mph(distance, start, end)
+    keys = as_list(by)
+    parts = src.groupBy(*keys).agg(F.sum(speed).alias("__s"), F.count(speed).alias("__n"))
+    out_keys = [c for c in parts.columns if c not in ("__s", "__n")]
+    overall = parts.select(F.try_divide(F.sum("__s"), F.sum("__n").cast("double"))).scalar()
+    avg = F.try_divide(F.col("__s"), F.col("__n").cast("double"))
+    return parts.select(
+        *out_keys,
+        avg.alias("avg_speed"),
+        overall.alias("overall_speed"),
+        (avg - overall).alias("diff"),
     )

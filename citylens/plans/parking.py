@@ -26,7 +26,6 @@ from citylens.operators import (
     sentinel_profile,
     stacked_counts,
     top_bins_for_top_items,
-    top_groups,
     top_k_per_group,
     top_n,
     with_date_parts,
@@ -166,9 +165,7 @@ def common_codes(spark, sf):
 
 
 def stacked_precinct_codes(spark, sf):
-    t = _tickets(spark, sf)
-    top = top_groups(t, "issuer_precinct", P.TOP_K)
-    return stacked_counts(t.join(F.broadcast(top), "issuer_precinct", "left_semi"), "issuer_precinct", "violation_code")
+    return stacked_counts(_tickets(spark, sf), "issuer_precinct", "violation_code", k=P.TOP_K)
 
 
 # -- time of day -----------------------------------------------------------

@@ -61,3 +61,30 @@ def test_no_cross_join_no_python_udf(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString() + physical(df)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "Join Cross"):
         assert bad not in plan, f"{name}: {bad}"
+
+
+def final_plan(df) -> str:
+    df.collect()
+    ep = df._jdf.queryExecution().executedPlan()
+    return ep.executedPlan().toString()  # AQE's final plan (runtime reuse visible)
+
+
+@pytest.mark.parametrize(
+    "name,table",
+    [
+        ("codes_in_top_precincts", "lineitem"),
+        ("codes_in_top_precincts_pooled", "lineitem"),
+        ("stacked_precinct_codes", "lineitem"),
+        ("top_bins_per_code", "events"),
+    ],
+)
+def test_busiest_groups_scan_raw_rows_once(spark, name, table):
+    plan = final_plan(E.queries()[name](spark, SF01))
+    assert plan.count(f"/{table}.parquet]") == 1, plan
+    assert "ReusedExchange" in plan
+
+
+def test_compare_years_aggregates_once(spark):
+    plan = final_plan(E.queries()["yearly_comparison"](spark, SF01))
+    assert plan.count("/lineitem.parquet]") == 1
+    assert "Window" in plan
