@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citylens.operators import normalize_columns, shape_report
+from citylens.functions import parse_date, year_ranges
+from citylens.operators import clean_period, compare_years, normalize_columns, shape_report
 from citylens.plans.parking import DISPLAY_NAMES
 from citylens.plans.taxi import clean
-from citylens.functions import parse_date
 from citylens.schemas import ticket_schema
 from citylens.session import scratch_path
-from citylens.sources import materialize, read_tickets, read_trips, with_year_month, write_csv
+from citylens.sources import materialize, read_ticket_years, read_tickets, read_trips, with_year_month, write_csv
 from citylens.sources import views as V
 
 
@@ -33,6 +33,35 @@ def csv_tickets(spark, sf):
     return tidy.withColumn("issue_date", parse_date("issue_date"))
 
 
+# Yearly files whose layouts drift: one year carries an extra column, another lacks one.
+YEAR_LAYOUTS = {
+    1996: {"add": [], "drop": []},
+    1997: {"add": ["Meter Number"], "drop": []},
+    1998: {"add": [], "drop": ["Intersecting Street"]},
+}
+
+
+def csv_ticket_years(spark, sf):
+    """Three yearly ticket files with drifting columns, read as one table and compared year on year."""
+    paths = {}
+    for year, layout in YEAR_LAYOUTS.items():
+        t = clean_period(V.tickets(spark, sf), {"issue_ts": year_ranges([year])})
+        t = t.withColumn("issue_ts", F.date_format("issue_ts", "MM/dd/yyyy"))
+        raw = t.toDF(*[DISPLAY_NAMES[c] for c in t.columns])
+        for name in layout["add"]:
+            raw = raw.withColumn(name, F.lit(None).cast("string"))
+        raw = raw.drop(*layout["drop"])
+        paths[year] = write_csv(raw, scratch_path(spark, f"tickets-{year}"))
+    core = ["summons_number", "registration_state", "issue_date", "violation_code", "intersecting_street"]
+    stacked = read_ticket_years(spark, paths, keep=core, lower=True)
+    metrics = {
+        "tickets": F.count_distinct("summons_number"),
+        "states": F.count_distinct("registration_state"),
+        "no_cross_street": F.count_if(F.col("intersecting_street").isNull()),
+    }
+    return compare_years(stacked, "year", metrics)
+
+
 def materialize_q(spark, sf):
     """Cleaned trips written once as Parquet partitioned by pickup year and month."""
     cleaned = with_year_month(clean(V.trips(spark, sf)), "pickup_ts")
@@ -46,6 +75,7 @@ def shape_report_q(spark, sf):
 QUERIES = {
     "csv_trips": csv_trips,
     "csv_tickets": csv_tickets,
+    "csv_ticket_years": csv_ticket_years,
     "materialize": materialize_q,
     "shape_report": shape_report_q,
 }

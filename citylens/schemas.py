@@ -54,7 +54,7 @@ TICKET_EXTRA_COLUMNS = [
     "BIN", "BBL", "NTA", "Meter Number", "Violation Legal Code",
 ]
 
-_TICKET_TYPES = {
+TICKET_TYPES = {
     "Summons Number": T.LongType(),
     "Violation Code": T.IntegerType(),
     "Violation Precinct": T.IntegerType(),
@@ -71,5 +71,5 @@ def ticket_schema(columns: list[str] | None = None, typed: bool = True) -> T.Str
     """
     cols = columns or TICKET_CORE_COLUMNS
     return T.StructType(
-        [T.StructField(c, _TICKET_TYPES.get(c, T.StringType()) if typed else T.StringType()) for c in cols]
+        [T.StructField(c, TICKET_TYPES.get(c, T.StringType()) if typed else T.StringType()) for c in cols]
     )

@@ -45,7 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is unset (local tests) a fresh private folder is registered, so
     ``checkpoint()`` and scratch tables still have a home.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: no context, read the setting only
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        return configured or tempfile.mkdtemp(prefix="citylens-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citylens.schemas import TRIP_SCHEMA, ticket_schema
+from citylens.schemas import TICKET_TYPES, TRIP_SCHEMA, ticket_schema
 
 TRIP_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -44,9 +47,13 @@ def read_tickets(
 ) -> DataFrame:
     """A yearly ticket file with header.
 
-    With ``columns`` (the header names) a schema is declared, which spares
-    the inference pass; ``typed=False`` reads every column as text;
-    ``infer=True`` keeps Spark's type inference as an option.
+    * ``columns`` (the header names, in order): the schema is declared up front.
+    * no ``columns``: the header is read as is (so yearly files whose
+      columns drift need no list) and, with ``typed=True``, the known
+      numeric columns are converted with ``try_cast`` -- no inference pass,
+      and a malformed value becomes NULL instead of failing the job.
+    * ``typed=False`` keeps every column as text; ``infer=True`` uses
+      Spark's type inference (an extra pass over the file).
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if infer:
@@ -54,8 +61,47 @@ def read_tickets(
     if schema is None and columns is not None:
         schema = ticket_schema(columns, typed=typed)
     if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+        return reader.schema(schema).csv(path)
+    raw = reader.csv(path)
+    if not typed:
+        return raw
+    return raw.select(
+        *[
+            F.col(f"`{c}`").try_cast(TICKET_TYPES[c]).alias(c) if c in TICKET_TYPES else F.col(f"`{c}`")
+            for c in raw.columns
+        ]
+    )
+
+
+def read_ticket_years(
+    spark: SparkSession,
+    paths: Mapping[int, str | list[str]],
+    keep: Sequence[str] | None = None,
+    year_col: str = "year",
+    lower: bool = False,
+) -> DataFrame:
+    """Yearly ticket files with drifting columns as one table.
+
+    Each file is read with its own header, names are normalised
+    (``Days Parking In Effect    `` -> ``Days_Parking_In_Effect``), the
+    ``keep`` columns are projected (the common core; a column a year lacks
+    becomes NULL) and the years are stacked by name with a ``year`` column.
+    """
+    from citylens.operators.columns import normalize_columns
+    from citylens.operators.compare import stack_years
+
+    frames = {}
+    for year, path in paths.items():
+        df = normalize_columns(read_tickets(spark, path), lower=lower)
+        if keep is not None:
+            df = df.select(*[c for c in keep if c in df.columns])
+        frames[year] = df
+    # unionByName fills a column a year lacks with NULL of the other years' type
+    stacked = stack_years(frames, year_col)
+    for c in keep or ():
+        if c not in stacked.columns:
+            stacked = stacked.withColumn(c, F.lit(None).cast("string"))
+    return stacked.select(*(list(keep) + [year_col] if keep is not None else stacked.columns))
 
 
 def write_csv(df: DataFrame, path: str, timestamp_format: str = TRIP_TIMESTAMP_FORMAT) -> str:

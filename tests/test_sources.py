@@ -67,3 +67,16 @@ def test_materialize_partitioned(spark):
     pruned = out.filter(F.col("month") == 12)
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_read_ticket_years_with_drift(spark):
+    from citylens.sources import read_ticket_years
+
+    folder = tempfile.mkdtemp(prefix="citylens-test-")
+    y15 = _write(folder, "2015.csv", 'Summons Number,Issue Date,Violation Code,"Days Parking In Effect    "\n1,06/04/2015,21,YYYYYYY\n2,6/5/2015,x,\n')
+    y16 = _write(folder, "2016.csv", "Summons Number,Issue Date,Violation Code,Meter Number\n3,01/02/2016,38,123\n")
+    y17 = _write(folder, "2017.csv", "Summons Number,Issue Date\n4,03/03/2017\n")
+    out = read_ticket_years(spark, {2015: y15, 2016: y16, 2017: y17}, keep=["Summons_Number", "Violation_Code", "Days_Parking_In_Effect"])
+    assert dict(out.dtypes) == {"Summons_Number": "bigint", "Violation_Code": "int", "Days_Parking_In_Effect": "string", "year": "int"}
+    rows = sorted(tuple(r) for r in out.collect())
+    assert rows == [(1, 21, "YYYYYYY", 2015), (2, None, None, 2015), (3, 38, None, 2016), (4, None, None, 2017)]
