@@ -105,6 +105,15 @@ def vendor_dropoff_year_counts(spark, sf):
     return count_by(t, ["vendor_id", F.year("dropoff_ts").alias("year")]).orderBy("vendor_id", "year")
 
 
+def vendor_year_counts_in_months(spark, sf):
+    t = _trips(spark, sf).filter(F.month("pickup_ts").isin(*P.PERIOD_MONTHS))
+    return count_by(t, ["vendor_id", F.year("pickup_ts").alias("year")]).orderBy("vendor_id", "year")
+
+
+def vendor_dropoff_month_counts(spark, sf):
+    return count_by(_clean(spark, sf), ["vendor_id", F.month("dropoff_ts").alias("month")]).orderBy("vendor_id", "month")
+
+
 def clean_trips(spark, sf):
     return _clean(spark, sf)
 
@@ -219,7 +228,9 @@ QUERIES = {
     "worst_vendor": worst_vendor,
     "vendor_month_counts": vendor_month_counts,
     "vendor_year_counts": vendor_year_counts,
+    "vendor_year_counts_in_months": vendor_year_counts_in_months,
     "vendor_dropoff_year_counts": vendor_dropoff_year_counts,
+    "vendor_dropoff_month_counts": vendor_dropoff_month_counts,
     "clean_trips": clean_trips,
     "union_months": union_months_q,
     "avg_fare_by_month": avg_fare_by_month,
