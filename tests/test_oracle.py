@@ -30,3 +30,16 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns == ["bin", "violation_code", "count", "rank"]
     assert len(rows) >= 18 and all(r["rank"] <= 3 for r in rows)
+
+
+TIME_DEPENDENT = ["clock_hours", "clock_hours_lenient", "speed_by_month", "date_parts", "csv_trips", "materialize", "top_codes_per_bin"]
+
+
+@pytest.mark.parametrize("name", TIME_DEPENDENT)
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        problems, _, _ = compare(spark, con, name, QUERIES[name], ORACLE[name], SF01)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert not problems, problems
