@@ -88,3 +88,15 @@ def test_compare_years_aggregates_once(spark):
     plan = final_plan(E.queries()["yearly_comparison"](spark, SF01))
     assert plan.count("/lineitem.parquet]") == 1
     assert "Window" in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith(("csv_", "stream_", "materialize"))))
+def test_only_bounded_broadcasts_when_no_table_is_small(spark, name):
+    from tools.plan_report import broadcast_sides
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(E.queries()[name](spark, SF01))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(bounded for bounded, _ in broadcast_sides(plan)), plan

@@ -4,7 +4,6 @@ from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from citylens.functions import bucketize, time_bin
 from citylens.operators import percent_share, top_k_per_group, top_n
