@@ -9,7 +9,7 @@ from citylens.operators.columns import (
     shape_report,
     with_date_parts,
 )
-from citylens.operators.compare import compare_years, stack_years
+from citylens.operators.compare import compare_years, pivot_years, stack_years
 from citylens.operators.frequency import (
     bucket_share,
     common_items,

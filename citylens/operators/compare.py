@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,3 +40,20 @@ def compare_years(df: DataFrame, year: Column | str, metrics: Mapping[str, Colum
         *metrics,
         *[(F.col(n) - F.max(n).over(w)).alias(f"{n}_change") for n in metrics],
     )
+
+
+def pivot_years(
+    df: DataFrame, year: Column | str, years: Sequence[int], by, metric: Column, fill: int | float | None = None
+) -> DataFrame:
+    """One row per group, one column per year (``"2015"``, ``"2016"``, ...), holding ``metric``.
+
+    The year list is explicit, so Spark skips the extra job that would
+    collect the distinct years; the pivot is a single aggregation keyed by
+    the groups.  ``fill`` replaces the NULL of a group absent in a year
+    (e.g. 0 for counts).
+    """
+    keys = as_list(by)
+    y = F.col(year) if isinstance(year, str) else year
+    wide = df.withColumn("__year", y).groupBy(*keys).pivot("__year", [int(v) for v in years]).agg(metric)
+    out = wide.toDF(*[c if c in keys else str(c) for c in wide.columns])
+    return out.na.fill(fill, subset=[str(v) for v in years]) if fill is not None else out

@@ -22,3 +22,5 @@ TOP_N = 5
 TOP_K = 3
 COMMON_PER_GROUP = 5
 SPARSE_MAX_MISSING = 0.2
+# Years compared side by side (the ticket files cover three fiscal years; the views span these).
+COMPARE_YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)

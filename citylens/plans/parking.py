@@ -20,6 +20,7 @@ from citylens.operators import (
     missing_address,
     normalize_columns,
     null_profile,
+    pivot_years,
     out_of_period_count,
     revenue_total,
     select_range,
@@ -276,6 +277,11 @@ def yearly_code_comparison(spark, sf):
     return compare_years(t, F.year("issue_ts"), {"tickets": F.count(F.lit(1))}, by="violation_code")
 
 
+def yearly_code_pivot(spark, sf):
+    t = _tickets(spark, sf).filter(F.col("violation_code") != 0)
+    return pivot_years(t, F.year("issue_ts"), P.COMPARE_YEARS, "violation_code", F.count(F.lit(1)), fill=0)
+
+
 QUERIES = {
     "ticket_count": ticket_count,
     "ticket_count_in_year": ticket_count_in_year,
@@ -317,4 +323,5 @@ QUERIES = {
     "top_revenue_code": top_revenue_code,
     "yearly_comparison": yearly_comparison,
     "yearly_code_comparison": yearly_code_comparison,
+    "yearly_code_pivot": yearly_code_pivot,
 }

@@ -199,3 +199,27 @@ def test_columns_tidy(spark):
     assert drop_sparse_columns(df).columns == ["Summons Number", "Unregistered Vehicle?"]
     shape = {r.column: (r.type, r.n_rows, r.n_cols) for r in shape_report(df).collect()}
     assert shape["Summons Number"] == ("int", 1, 4)
+
+
+def test_pivot_years(spark):
+    from citylens.operators import pivot_years
+
+    df = spark.createDataFrame([(21, 2015), (21, 2015), (38, 2016), (21, 2017)], "code int, y int")
+    out = pivot_years(df, "y", [2015, 2016, 2017], "code", F.count(F.lit(1)), fill=0)
+    assert out.columns == ["code", "2015", "2016", "2017"]
+    assert sorted(tuple(r) for r in out.collect()) == [(21, 2, 0, 1), (38, 0, 1, 0)]
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    # key 0 holds a third of all rows; results stay exact and the count is combined map-side
+    n = 300_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("g"),
+        (F.col("id") % 7).alias("i"),
+    )
+    top = top_k_per_group(df, "g", "i", k=2)
+    hot = {r.i: r["count"] for r in top.filter("g = 0").collect()}
+    assert sum(hot.values()) <= n // 3 and len(hot) >= 2
+    assert top_n(df, "g", 1, exclude=()).first()["count"] == n // 3 + sum(1 for x in range(n) if x % 3 and x % 1000 == 0)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "WindowGroupLimit" in plan
