@@ -1,100 +1,30 @@
-"""The parking-ticket analysis: examine, aggregate, time of day, seasons, revenue, years."""
+"""The parking-ticket study on the test views ``tickets``, ``clock_tickets`` and ``fines`` (registered queries)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylens.functions import parse_clock, season, time_bin
-from citylens.functions.missing import TEXT_SENTINELS
-from citylens.operators import (
-    clean_period,
-    common_items,
-    compare_years,
-    count_by,
-    distinct_count,
-    drop_missing,
-    drop_sparse_columns,
-    fine_revenue,
-    freq_within_top_groups,
-    missing_address,
-    normalize_columns,
-    null_profile,
-    pivot_years,
-    out_of_period_count,
-    revenue_total,
-    select_range,
-    sentinel_profile,
-    stacked_counts,
-    top_bins_for_top_items,
-    top_k_per_group,
-    top_n,
-    with_date_parts,
-)
-from citylens.operators import top_revenue_code as top_revenue_code_op
+from citylens.operators import drop_sparse_columns, normalize_columns, select_range
 from citylens.plans import params as P
+from citylens.plans.studies import ParkingStudy
 from citylens.sources import views as V
 
-ADDRESS = ["house_number", "street_name", "intersecting_street"]
-
-
-def _tickets(spark: SparkSession, sf: str) -> DataFrame:
-    return V.tickets(spark, sf)
-
-
-# -- examining -------------------------------------------------------------
-
-def ticket_count(spark, sf):
-    return distinct_count(_tickets(spark, sf), "summons_number")
-
-
-def ticket_count_in_year(spark, sf):
-    t = clean_period(_tickets(spark, sf), {"issue_ts": P.TICKET_RANGES})
-    return distinct_count(t, "summons_number")
-
-
-def state_count(spark, sf):
-    return distinct_count(_tickets(spark, sf), "registration_state")
-
-
-def state_count_with_null(spark, sf):
-    return distinct_count(_tickets(spark, sf), "registration_state", include_null=True)
-
-
-def street_count_with_null(spark, sf):
-    return distinct_count(_tickets(spark, sf), "street_name", include_null=True)
-
-
-def out_of_year_count(spark, sf):
-    lo, hi = P.TICKET_RANGES[0]
-    return out_of_period_count(_tickets(spark, sf), "issue_ts", lo, hi)
-
-
-def null_profile_q(spark, sf):
-    cols = ["house_number", "street_name", "intersecting_street", "vehicle_body_type", "vehicle_make"]
-    return null_profile(_tickets(spark, sf), cols)
-
-
-def sentinel_profile_q(spark, sf):
-    spec = {
-        "violation_code": ("0",),
-        "violation_precinct": ("0",),
-        "issuer_precinct": ("0",),
-        "street_name": TEXT_SENTINELS,
-        "intersecting_street": TEXT_SENTINELS,
-    }
-    return sentinel_profile(_tickets(spark, sf), spec)
-
-
-def missing_address_any(spark, sf):
-    return missing_address(_tickets(spark, sf), ["house_number", "street_name"], how="any")
-
-
-def missing_address_all(spark, sf):
-    return missing_address(_tickets(spark, sf), ADDRESS, how="all", sentinels=TEXT_SENTINELS)
-
-
-# -- column tidying --------------------------------------------------------
+# Column names of the test views for each role of the study.
+VIEW_COLUMNS = {
+    "summons": "summons_number",
+    "state": "registration_state",
+    "issue": "issue_ts",
+    "code": "violation_code",
+    "body": "vehicle_body_type",
+    "make": "vehicle_make",
+    "violation_precinct": "violation_precinct",
+    "issuer_precinct": "issuer_precinct",
+    "house": "house_number",
+    "street": "street_name",
+    "cross": "intersecting_street",
+}
+CLOCK_COLUMNS = {"summons": "event_id", "code": "violation_code", "time": "violation_time"}
 
 # Header names as a ticket file would carry them (spaces, trailing blanks, "?").
 DISPLAY_NAMES = {
@@ -112,216 +42,99 @@ DISPLAY_NAMES = {
 }
 
 
-def drop_sparse(spark, sf):
-    return drop_sparse_columns(_tickets(spark, sf), max_missing=P.SPARSE_MAX_MISSING)
-
-
-def normalize_columns_q(spark, sf):
-    t = _tickets(spark, sf)
-    raw = t.toDF(*[DISPLAY_NAMES[c] for c in t.columns])
-    return normalize_columns(raw, lower=True).withColumnRenamed("issue_date", "issue_ts")
-
-
-def select_range_q(spark, sf):
-    return select_range(_tickets(spark, sf), 0, 5)
-
-
-# -- aggregation -----------------------------------------------------------
-
-def top_codes(spark, sf):
-    return top_n(_tickets(spark, sf), "violation_code", P.TOP_N, exclude=(0, None))
-
-
-def top_body_types(spark, sf):
-    return top_n(_tickets(spark, sf), "vehicle_body_type", P.TOP_N, exclude=(None,))
+def study(df: DataFrame, columns: dict) -> ParkingStudy:
+    return ParkingStudy(
+        df,
+        columns=dict(columns),
+        year=P.TICKET_YEAR,
+        top_n=P.TOP_N,
+        top_k=P.TOP_K,
+        common_per_group=P.COMMON_PER_GROUP,
+        compare_years=P.COMPARE_YEARS,
+    )
 
 
-def top_makes(spark, sf):
-    return top_n(_tickets(spark, sf), "vehicle_make", P.TOP_N, exclude=(None,))
+def tickets_study(spark: SparkSession, sf: str) -> ParkingStudy:
+    return study(V.tickets(spark, sf), VIEW_COLUMNS)
 
 
-def top_violation_precincts(spark, sf):
-    return top_n(_tickets(spark, sf), "violation_precinct", P.TOP_N, exclude=(0, None))
+def clock_study(spark: SparkSession, sf: str) -> ParkingStudy:
+    return study(V.clock_tickets(spark, sf), CLOCK_COLUMNS)
 
 
-def top_issuer_precincts(spark, sf):
-    return top_n(_tickets(spark, sf), "issuer_precinct", P.TOP_N, exclude=(0, None))
+def _on_tickets(method: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return getattr(tickets_study(spark, sf), method)()
 
+    run.__name__ = method
+    return run
 
-def house_number_counts(spark, sf):
-    # n(col) semantics: the NULL group is kept and counts 0 non-null values.
-    return count_by(_tickets(spark, sf), "house_number", of="house_number")
 
+def _on_clock(method: str, **kw):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return getattr(clock_study(spark, sf), method)(**kw)
 
-def codes_in_top_precincts(spark, sf):
-    return freq_within_top_groups(_tickets(spark, sf), "issuer_precinct", "violation_code", P.TOP_K)
+    run.__name__ = method
+    return run
 
 
-def codes_in_top_precincts_pooled(spark, sf):
-    return freq_within_top_groups(_tickets(spark, sf), "issuer_precinct", "violation_code", P.TOP_K, pooled=True)
+def _on_fines(method: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return getattr(tickets_study(spark, sf), method)(V.fines(spark, sf))
 
+    run.__name__ = method
+    return run
 
-def common_codes(spark, sf):
-    return common_items(_tickets(spark, sf), "issuer_precinct", "violation_code", P.TOP_K, P.COMMON_PER_GROUP)
-
-
-def stacked_precinct_codes(spark, sf):
-    return stacked_counts(_tickets(spark, sf), "issuer_precinct", "violation_code", k=P.TOP_K)
-
-
-# -- time of day -----------------------------------------------------------
-
-def _clock(spark, sf):
-    return V.clock_tickets(spark, sf)
-
-
-def _hours(spark, sf, lenient=False):
-    c = _clock(spark, sf).withColumn("hour", parse_clock("violation_time", lenient=lenient))
-    return drop_missing(c, ["hour"])
-
-
-def clock_hours(spark, sf):
-    return _hours(spark, sf).select("event_id", "violation_code", "hour")
-
-
-def clock_hours_lenient(spark, sf):
-    return _hours(spark, sf, lenient=True).select("event_id", "violation_code", "hour")
-
-
-def clock_missing(spark, sf):
-    return sentinel_profile(_clock(spark, sf), {"violation_time": TEXT_SENTINELS})
-
-
-def _binned(spark, sf, closed="left", labels=None):
-    h = _hours(spark, sf)
-    return h.select("violation_code", time_bin("hour", closed=closed, labels=labels).alias("bin"))
-
-
-def time_bin_left(spark, sf):
-    return count_by(_binned(spark, sf), ["bin", "violation_code"])
-
-
-def time_bin_labelled(spark, sf):
-    return count_by(_binned(spark, sf, labels=True), ["bin", "violation_code"])
-
-
-def time_bin_right(spark, sf):
-    return count_by(_binned(spark, sf, closed="right"), ["bin", "violation_code"])
-
-
-def top_codes_per_bin(spark, sf):
-    return top_k_per_group(_binned(spark, sf), "bin", "violation_code", P.TOP_K)
-
-
-def top_bins_per_code(spark, sf):
-    return top_bins_for_top_items(_binned(spark, sf), "violation_code", "bin", P.TOP_K, P.TOP_K, exclude=(None,))
 
+def date_parts(spark, sf):
+    # The ticket file carries the date as MM/dd/yyyy text: parse it once, then take the parts.
+    t = V.tickets(spark, sf).select(F.date_format("issue_ts", "MM/dd/yyyy").alias("issue_date"))
+    return study(t, {"issue": "issue_date"}).date_parts()
 
-# -- seasons ---------------------------------------------------------------
 
-def _seasons(spark, sf, labels=None):
-    t = _tickets(spark, sf)
-    return t.select("violation_code", season(F.month("issue_ts"), labels=labels).alias("season"))
+# -- column tidying ----------------------------------------------------------------
 
+def drop_sparse(spark, sf):
+    return drop_sparse_columns(V.tickets(spark, sf), max_missing=P.SPARSE_MAX_MISSING)
 
-def season_counts(spark, sf):
-    return count_by(_seasons(spark, sf), "season").orderBy("season")
 
+def normalize_columns_q(spark, sf):
+    t = V.tickets(spark, sf)
+    raw = t.toDF(*[DISPLAY_NAMES[c] for c in t.columns])
+    return normalize_columns(raw, lower=True).withColumnRenamed("issue_date", "issue_ts")
 
-def season_counts_labelled(spark, sf):
-    return count_by(_seasons(spark, sf, labels=True), "season")
 
+def select_range_q(spark, sf):
+    return select_range(V.tickets(spark, sf), 0, 5)
 
-def top_codes_per_season(spark, sf):
-    return top_k_per_group(_seasons(spark, sf), "season", "violation_code", P.TOP_K)
 
+_TICKET_METHODS = (
+    "ticket_count", "ticket_count_in_year", "state_count", "state_count_with_null", "street_count_with_null",
+    "out_of_year_count", "null_profile", "sentinel_profile", "missing_address_any", "missing_address_all",
+)
+_AGG_METHODS = (
+    "top_codes", "top_body_types", "top_makes", "top_violation_precincts", "top_issuer_precincts",
+    "house_number_counts", "codes_in_top_precincts", "codes_in_top_precincts_pooled", "common_codes",
+    "stacked_precinct_codes",
+)
+_CLOCK_METHODS = (
+    "clock_hours", "clock_hours_lenient", "clock_missing", "time_bin_left", "time_bin_labelled",
+    "time_bin_right", "top_codes_per_bin",
+)
+_SEASON_YEAR_METHODS = (
+    "season_counts", "season_counts_labelled", "top_codes_per_season",
+)
 
-def date_parts(spark, sf):
-    # The ticket file carries the date as MM/dd/yyyy text: parse it once, then take the parts.
-    t = _tickets(spark, sf).select(F.date_format("issue_ts", "MM/dd/yyyy").alias("issue_date"))
-    d = with_date_parts(t, "issue_date", year="issue_year", month="issue_month")
-    return count_by(d, ["issue_year", "issue_month"])
-
-
-# -- revenue and years -----------------------------------------------------
-
-def _revenue(spark, sf):
-    return fine_revenue(_tickets(spark, sf), V.fines(spark, sf), "violation_code", P.TOP_K)
-
-
-def fine_revenue_q(spark, sf):
-    r = _revenue(spark, sf)
-    return r.select("violation_code", "tickets", F.round("avg_fine", 2).alias("avg_fine"), F.round("total", 2).alias("total"))
-
-
-def revenue_total_q(spark, sf):
-    return revenue_total(_revenue(spark, sf)).select(F.round("total", 2).alias("total"))
-
-
-def top_revenue_code(spark, sf):
-    top = top_revenue_code_op(_revenue(spark, sf))
-    return top.select("violation_code", F.round("total", 2).alias("total"))
-
-
-def yearly_comparison(spark, sf):
-    t = _tickets(spark, sf)
-    metrics = {
-        "tickets": F.count_distinct("summons_number"),
-        "states": F.count_distinct("registration_state"),
-    }
-    return compare_years(t, F.year("issue_ts"), metrics)
-
-
-def yearly_code_comparison(spark, sf):
-    t = _tickets(spark, sf).filter(F.col("violation_code") != 0)
-    return compare_years(t, F.year("issue_ts"), {"tickets": F.count(F.lit(1))}, by="violation_code")
-
-
-def yearly_code_pivot(spark, sf):
-    t = _tickets(spark, sf).filter(F.col("violation_code") != 0)
-    return pivot_years(t, F.year("issue_ts"), P.COMPARE_YEARS, "violation_code", F.count(F.lit(1)), fill=0)
-
-
-QUERIES = {
-    "ticket_count": ticket_count,
-    "ticket_count_in_year": ticket_count_in_year,
-    "state_count": state_count,
-    "state_count_with_null": state_count_with_null,
-    "street_count_with_null": street_count_with_null,
-    "out_of_year_count": out_of_year_count,
-    "null_profile": null_profile_q,
-    "sentinel_profile": sentinel_profile_q,
-    "missing_address_any": missing_address_any,
-    "missing_address_all": missing_address_all,
-    "drop_sparse": drop_sparse,
-    "normalize_columns": normalize_columns_q,
-    "select_range": select_range_q,
-    "top_codes": top_codes,
-    "top_body_types": top_body_types,
-    "top_makes": top_makes,
-    "top_violation_precincts": top_violation_precincts,
-    "top_issuer_precincts": top_issuer_precincts,
-    "house_number_counts": house_number_counts,
-    "codes_in_top_precincts": codes_in_top_precincts,
-    "codes_in_top_precincts_pooled": codes_in_top_precincts_pooled,
-    "common_codes": common_codes,
-    "stacked_precinct_codes": stacked_precinct_codes,
-    "clock_hours": clock_hours,
-    "clock_hours_lenient": clock_hours_lenient,
-    "clock_missing": clock_missing,
-    "time_bin_left": time_bin_left,
-    "time_bin_labelled": time_bin_labelled,
-    "time_bin_right": time_bin_right,
-    "top_codes_per_bin": top_codes_per_bin,
-    "top_bins_per_code": top_bins_per_code,
-    "season_counts": season_counts,
-    "season_counts_labelled": season_counts_labelled,
-    "top_codes_per_season": top_codes_per_season,
-    "date_parts": date_parts,
-    "fine_revenue": fine_revenue_q,
-    "revenue_total": revenue_total_q,
-    "top_revenue_code": top_revenue_code,
-    "yearly_comparison": yearly_comparison,
-    "yearly_code_comparison": yearly_code_comparison,
-    "yearly_code_pivot": yearly_code_pivot,
-}
+QUERIES = {}
+QUERIES.update({m: _on_tickets(m) for m in _TICKET_METHODS})
+QUERIES.update(
+    {"drop_sparse": drop_sparse, "normalize_columns": normalize_columns_q, "select_range": select_range_q}
+)
+QUERIES.update({m: _on_tickets(m) for m in _AGG_METHODS})
+QUERIES.update({m: _on_clock(m) for m in _CLOCK_METHODS})
+# violation codes of the clock view are text: only NULL is excluded from the top codes
+QUERIES["top_bins_per_code"] = _on_clock("top_bins_per_code", exclude=(None,))
+QUERIES.update({m: _on_tickets(m) for m in _SEASON_YEAR_METHODS})
+QUERIES["date_parts"] = date_parts
+QUERIES.update({m: _on_fines(m) for m in ("fine_revenue", "revenue_total", "top_revenue_code")})
+QUERIES.update({m: _on_tickets(m) for m in ("yearly_comparison", "yearly_code_comparison", "yearly_code_pivot")})

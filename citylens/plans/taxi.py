@@ -1,252 +1,54 @@
-"""The taxi-trip analysis: audit, per-provider audit, cleaning, analysis I and II."""
+"""The taxi-trip study on the test view ``trips`` (registered queries)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from citylens.functions.bins import bucketize
-from citylens.functions.dates import in_periods, month_ranges
-from citylens.operators import (
-    avg_by,
-    avg_speed,
-    avg_speed_vs_overall,
-    bucket_share,
-    clean_period,
-    correlation,
-    count_by,
-    distinct_values,
-    fraction_where,
-    mean_vs_median,
-    rule_counts,
-    summary_percentiles,
-    top_n,
-    trip_rules,
-    worst_offender,
-)
 from citylens.plans import params as P
-from citylens.sources import union_months
+from citylens.plans.studies import TaxiStudy
 from citylens.sources import views as V
 
+# Column names of the test view for each role of the study.
+VIEW_COLUMNS = {
+    "vendor": "vendor_id",
+    "pickup": "pickup_ts",
+    "dropoff": "dropoff_ts",
+    "passengers": "passenger_count",
+    "distance": "trip_distance",
+    "rate_code": "rate_code",
+    "payment": "payment_type",
+    "fare": "fare_amount",
+    "extra": "extra",
+    "tip": "tip_amount",
+    "total": "total_amount",
+}
 
-def _trips(spark: SparkSession, sf: str) -> DataFrame:
-    return V.trips(spark, sf)
-
-
-def clean(df: DataFrame) -> DataFrame:
-    """In-period trips: pickup in Nov-Dec of the year, dropoff in that year or the next."""
-    return clean_period(df, {"pickup_ts": P.PICKUP_RANGES, "dropoff_ts": P.DROPOFF_RANGES})
-
-
-def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean(_trips(spark, sf))
-
-
-def _rules(with_rate_code: bool = False):
-    return trip_rules(rate_code="rate_code" if with_rate_code else None, bad_rate_code=P.BAD_RATE_CODE)
-
-
-# -- audit -----------------------------------------------------------------
-
-def vendor_counts(spark, sf):
-    return count_by(_trips(spark, sf), "vendor_id").orderBy("vendor_id")
-
-
-def distinct_months(spark, sf):
-    return distinct_values(_trips(spark, sf), F.month("pickup_ts"), "month")
-
-
-def distinct_years(spark, sf):
-    return distinct_values(_trips(spark, sf), F.year("pickup_ts"), "year")
-
-
-def distinct_years_in_months(spark, sf):
-    t = _trips(spark, sf)
-    return distinct_values(t.filter(F.month("pickup_ts").isin(*P.PERIOD_MONTHS)), F.year("pickup_ts"), "year")
-
-
-def distinct_dropoff_years(spark, sf):
-    t = _trips(spark, sf).filter(in_periods("pickup_ts", P.PICKUP_RANGES))
-    return distinct_values(t, F.year("dropoff_ts"), "year")
-
-
-def distinct_dropoff_months(spark, sf):
-    return distinct_values(_clean(spark, sf), F.month("dropoff_ts"), "month")
-
-
-def distinct_rate_codes(spark, sf):
-    return distinct_values(_clean(spark, sf), "rate_code")
-
-
-def rule_counts_q(spark, sf):
-    return rule_counts(_clean(spark, sf), _rules())
-
-
-def rule_counts_by_vendor(spark, sf):
-    return rule_counts(_clean(spark, sf), _rules(True), by="vendor_id")
-
-
-def worst_vendor(spark, sf):
-    return worst_offender(_clean(spark, sf), _rules(True), "vendor_id")
-
-
-def vendor_month_counts(spark, sf):
-    t = _trips(spark, sf)
-    return count_by(t, ["vendor_id", F.month("pickup_ts").alias("month")]).orderBy("vendor_id", "month")
-
-
-def vendor_year_counts(spark, sf):
-    t = _trips(spark, sf)
-    return count_by(t, ["vendor_id", F.year("pickup_ts").alias("year")]).orderBy("vendor_id", "year")
-
-
-def vendor_dropoff_year_counts(spark, sf):
-    t = _trips(spark, sf).filter(in_periods("pickup_ts", P.PICKUP_RANGES))
-    return count_by(t, ["vendor_id", F.year("dropoff_ts").alias("year")]).orderBy("vendor_id", "year")
-
-
-def vendor_year_counts_in_months(spark, sf):
-    t = _trips(spark, sf).filter(F.month("pickup_ts").isin(*P.PERIOD_MONTHS))
-    return count_by(t, ["vendor_id", F.year("pickup_ts").alias("year")]).orderBy("vendor_id", "year")
-
-
-def vendor_dropoff_month_counts(spark, sf):
-    return count_by(_clean(spark, sf), ["vendor_id", F.month("dropoff_ts").alias("month")]).orderBy("vendor_id", "month")
-
-
-def clean_trips(spark, sf):
-    return _clean(spark, sf)
-
-
-def union_months_q(spark, sf):
-    t = _trips(spark, sf)
-    months = [clean_period(t, {"pickup_ts": month_ranges(P.PERIOD_YEAR, [m])}) for m in P.PERIOD_MONTHS]
-    return union_months(*months)
-
-
-# -- analysis I ------------------------------------------------------------
-
-def avg_fare_by_month(spark, sf):
-    c = _clean(spark, sf)
-    out = avg_by(c, F.month("pickup_ts").alias("month"), "fare_amount", where=F.col("fare_amount") > 0, name="average_fare")
-    return out.select("month", F.round("average_fare", 2).alias("average_fare"))
-
-
-def passenger_counts(spark, sf):
-    c = _clean(spark, sf).filter(F.col("passenger_count") != 0)
-    return count_by(c, "passenger_count").orderBy("passenger_count")
-
-
-def payment_counts(spark, sf):
-    return count_by(_clean(spark, sf), "payment_type").orderBy("payment_type")
-
-
-def top_payment(spark, sf):
-    return top_n(_clean(spark, sf), "payment_type", 1)
-
-
-def _tips(spark, sf):
-    return _clean(spark, sf).filter(F.col("tip_amount") >= 0)
-
-
-def tip_percentiles(spark, sf):
-    s = summary_percentiles(_tips(spark, sf), "tip_amount")
-    return s.select(*[F.round(c, 2).alias(c) for c in s.columns])
-
-
-def tip_percentiles_exact(spark, sf):
-    s = summary_percentiles(_tips(spark, sf), "tip_amount", exact=True)
-    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
-
-
-def tip_mean_vs_median(spark, sf):
-    # tips are money amounts: a bounded set of distinct values, so the exact median is affordable
-    s = mean_vs_median(_tips(spark, sf), "tip_amount", exact=True)
-    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
-
-
-def extra_fraction(spark, sf):
-    # An extra charge is anything but exactly 0; a missing value counts as charged.
-    out = fraction_where(_clean(spark, sf), F.col("extra") != 0, null_as=True)
-    return out.select(F.round("percent", 2).alias("percent"))
-
-
-# -- analysis II -----------------------------------------------------------
-
-def passenger_tip_corr(spark, sf):
-    c = _clean(spark, sf)
-    out = correlation(c, "passenger_count", "tip_amount", where=(F.col("passenger_count") != 0) & (F.col("tip_amount") >= 0))
-    return out.select(F.round("corr", 4).alias("corr"))
-
-
-def avg_tip_by_passengers(spark, sf):
-    c = _clean(spark, sf)
-    out = avg_by(c, "passenger_count", "tip_amount", where=F.col("passenger_count") != 0, name="average_tip")
-    return out.select("passenger_count", F.round("average_tip", 2).alias("average_tip")).orderBy("passenger_count")
-
-
-def tip_buckets(spark, sf):
-    t = _tips(spark, sf).select(bucketize("tip_amount", P.TIP_EDGES).alias("bucket"))
-    return count_by(t, "bucket")
-
-
-def tip_bucket_share(spark, sf):
-    return bucket_share(_tips(spark, sf), "tip_amount", P.TIP_EDGES)
-
-
-def _round_speed(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if c in ("avg_speed", "overall_speed", "diff") else F.col(c) for c in df.columns])
-
-
-def speed_by_month(spark, sf):
-    return _round_speed(avg_speed(_clean(spark, sf), F.month("pickup_ts").alias("month")))
 
+def study(spark: SparkSession, sf: str) -> TaxiStudy:
+    return TaxiStudy(
+        V.trips(spark, sf),
+        columns=dict(VIEW_COLUMNS),
+        year=P.PERIOD_YEAR,
+        months=P.PERIOD_MONTHS,
+        holiday_month=P.HOLIDAY_MONTH,
+        holiday_days=P.HOLIDAY_DAYS,
+        bad_rate_code=P.BAD_RATE_CODE,
+        tip_edges=P.TIP_EDGES,
+    )
 
-def speed_by_day(spark, sf):
-    holiday = (F.month("pickup_ts") == P.HOLIDAY_MONTH) & F.dayofmonth("pickup_ts").isin(*P.HOLIDAY_DAYS)
-    return _round_speed(avg_speed(_clean(spark, sf), F.dayofmonth("pickup_ts").alias("day"), where=holiday))
 
+def clean(df: DataFrame) -> DataFrame:
+    """In-period test trips (used by the ingest plans)."""
+    return TaxiStudy(df, columns=dict(VIEW_COLUMNS), year=P.PERIOD_YEAR, months=P.PERIOD_MONTHS).clean()
 
-def speed_overall(spark, sf):
-    return _round_speed(avg_speed(_clean(spark, sf)))
 
+def _query(method: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return getattr(study(spark, sf), method)()
 
-def speed_vs_overall(spark, sf):
-    return _round_speed(avg_speed_vs_overall(_clean(spark, sf), F.month("pickup_ts").alias("month")))
+    run.__name__ = method
+    return run
 
 
-QUERIES = {
-    "vendor_counts": vendor_counts,
-    "distinct_months": distinct_months,
-    "distinct_years": distinct_years,
-    "distinct_years_in_months": distinct_years_in_months,
-    "distinct_dropoff_years": distinct_dropoff_years,
-    "distinct_dropoff_months": distinct_dropoff_months,
-    "distinct_rate_codes": distinct_rate_codes,
-    "rule_counts": rule_counts_q,
-    "rule_counts_by_vendor": rule_counts_by_vendor,
-    "worst_vendor": worst_vendor,
-    "vendor_month_counts": vendor_month_counts,
-    "vendor_year_counts": vendor_year_counts,
-    "vendor_year_counts_in_months": vendor_year_counts_in_months,
-    "vendor_dropoff_year_counts": vendor_dropoff_year_counts,
-    "vendor_dropoff_month_counts": vendor_dropoff_month_counts,
-    "clean_trips": clean_trips,
-    "union_months": union_months_q,
-    "avg_fare_by_month": avg_fare_by_month,
-    "passenger_counts": passenger_counts,
-    "payment_counts": payment_counts,
-    "top_payment": top_payment,
-    "tip_percentiles": tip_percentiles,
-    "tip_percentiles_exact": tip_percentiles_exact,
-    "tip_mean_vs_median": tip_mean_vs_median,
-    "extra_fraction": extra_fraction,
-    "passenger_tip_corr": passenger_tip_corr,
-    "avg_tip_by_passengers": avg_tip_by_passengers,
-    "tip_buckets": tip_buckets,
-    "tip_bucket_share": tip_bucket_share,
-    "speed_by_month": speed_by_month,
-    "speed_by_day": speed_by_day,
-    "speed_overall": speed_overall,
-    "speed_vs_overall": speed_vs_overall,
-}
+QUERIES = {name: _query(name) for name in TaxiStudy.REPORTS}
+QUERIES["clean_trips"] = QUERIES.pop("clean")
