@@ -19,7 +19,7 @@ def physical(df) -> str:
 
 
 def test_period_filter_reaches_parquet_scan(spark):
-    plan = physical(taxi.clean_trips(spark, SF01))
+    plan = physical(taxi.QUERIES["clean_trips"](spark, SF01))
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1997-11-01T00:00)" in plan
     assert "GreaterThanOrEqual(l_shipdate,1997-01-01T00:00)" in plan
 
