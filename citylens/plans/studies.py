@@ -9,7 +9,7 @@ test queries are these same methods applied to the test views.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +53,7 @@ from citylens.operators import (
     with_date_parts,
     worst_offender,
 )
-from citylens.sources.tables import union_months
+from citylens.sources.tables import materialize, union_months
 
 # Headers of the monthly trip file.
 TRIP_COLUMNS = {
@@ -116,10 +116,27 @@ class TaxiStudy:
     def dropoff_ranges(self):
         return year_ranges([self.year, self.year + 1])
 
+    clean_table: DataFrame | None = None
+
     def clean(self) -> DataFrame:
         """In-period trips: pickup in the months of the year, dropoff in that year or the next."""
+        if self.clean_table is not None:
+            return self.clean_table
         return clean_period(self.trips, {self.c("pickup"): self.pickup_ranges, self.c("dropoff"): self.dropoff_ranges})
 
+    def with_materialized_clean(self, path: str | None = None) -> "TaxiStudy":
+        """Write the in-period trips once (Parquet, partitioned by pickup year and month) and use them.
+
+        The analysis reports all start from the clean trips; over raw CSV each
+        would parse the whole file again.  After this they read the written
+        table (shared storage below ``spark.checkpoint.dir`` by default), and
+        a lost executor re-reads files instead of recomputing the cleaning.
+        """
+        pick = self.c("pickup")
+        staged = self.clean().withColumn("pickup_year", F.year(pick)).withColumn("pickup_month", F.month(pick))
+        written = materialize(staged, path, partition_by=("pickup_year", "pickup_month"), name="clean-trips")
+        return replace(self, clean_table=written.drop("pickup_year", "pickup_month"))
+
     def rules(self, with_rate_code: bool = False) -> dict[str, Column]:
         return trip_rules(
             distance=self.c("distance"),

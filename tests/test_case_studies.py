@@ -181,3 +181,11 @@ def test_parking_aggregates_and_revenue(parking, spark):
     assert parts == {(2015, 6): 19, (2014, 12): 1, (2014, 7): 1}
     years = {r.year: r.tickets for r in parking.yearly_comparison().collect()}
     assert years == {2014: 2, 2015: 19}
+
+
+def test_materialized_clean_gives_the_same_reports(taxi):
+    fast = taxi.with_materialized_clean()
+    assert "Relation" in fast.clean()._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("rule_counts", "avg_fare_by_month", "tip_bucket_share", "speed_vs_overall", "passenger_counts"):
+        assert rows(getattr(fast, name)()) == rows(getattr(taxi, name)()), name
+    assert rows(fast.vendor_counts()) == rows(taxi.vendor_counts())  # audits still read the raw trips
