@@ -23,7 +23,7 @@ def distinct_count(
     c = F.col(col)
     n = F.approx_count_distinct(c) if approx else F.count_distinct(c)
     if include_null:
-        n = n + F.max(F.when(c.isNull(), F.lit(1)).otherwise(F.lit(0)))
+        n = n + F.coalesce(F.max(F.when(c.isNull(), F.lit(1)).otherwise(F.lit(0))), F.lit(0))
     return df.agg(n.alias(name))
 
 

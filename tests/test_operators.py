@@ -223,3 +223,14 @@ def test_hot_key_holding_a_third_of_rows(spark):
     assert top_n(df, "g", 1, exclude=()).first()["count"] == n // 3 + sum(1 for x in range(n) if x % 3 and x % 1000 == 0)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "WindowGroupLimit" in plan
+
+
+def test_empty_inputs(spark):
+    df = spark.createDataFrame([], "s string, x double")
+    assert distinct_count(df, "s", include_null=True).first().n == 0
+    assert distinct_count(df, "s").first().n == 0
+    assert top_n(df, "s", 3).count() == 0
+    assert percent_share(df, "s").count() == 0
+    assert drop_sparse_columns(df).columns == ["s", "x"]
+    assert null_profile(df).first().fraction is None
+    assert summary_percentiles(df, "x").first().p50 is None
