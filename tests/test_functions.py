@@ -116,3 +116,14 @@ def test_speed_zero_and_negative_duration(spark):
     )
     rows = df.select(duration_seconds("a", "b").alias("s"), speed_mph("d", "a", "b").alias("v")).collect()
     assert [(r.s, r.v) for r in rows] == [(7200, 5.0), (0, None), (-3600, -3.0)]
+
+
+def test_strict_clock_equals_hhmma_timestamp_parse(spark):
+    # every 4-digit prefix with every suffix, plus odd shapes
+    suffix = spark.createDataFrame([(s,) for s in ["A", "P", "a", "p", "X", "", "M", " "]], "s string")
+    digits = spark.range(0, 10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
+    texts = digits.crossJoin(suffix).select(F.concat("d", "s").alias("t")).unionByName(
+        spark.createDataFrame([(x,) for x in [None, "", "NA", " 0143A", "0143A ", "143A", "01:43A", "0143AM"]], "t string")
+    )
+    reference = F.hour(F.try_to_timestamp(F.concat("t", F.lit("M")), F.lit("hhmma")))
+    assert texts.filter(~reference.eqNullSafe(parse_clock("t"))).count() == 0

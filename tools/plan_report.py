@@ -134,6 +134,18 @@ def main(argv):
         )
     print("\nNot listed: `csv_*`, `materialize` and `stream_*` write scratch files when called; their read side is a plain scan.")
 
+    import contextlib
+    import io
+
+    for name in ("top_codes_per_bin", "codes_in_top_precincts"):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            E.queries()[name](spark, sf_dir).explain("formatted")
+        print(f"\n## `{name}`: `explain(\"formatted\")` before execution\n")
+        print("```")
+        print(buf.getvalue().rstrip())
+        print("```")
+
 
 if __name__ == "__main__":
     main(sys.argv)
