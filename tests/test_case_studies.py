@@ -189,3 +189,12 @@ def test_materialized_clean_gives_the_same_reports(taxi):
     for name in ("rule_counts", "avg_fare_by_month", "tip_bucket_share", "speed_vs_overall", "passenger_counts"):
         assert rows(getattr(fast, name)()) == rows(getattr(taxi, name)()), name
     assert rows(fast.vendor_counts()) == rows(taxi.vendor_counts())  # audits still read the raw trips
+
+
+def test_every_report_runs_on_real_layouts(taxi, parking, spark):
+    for name, df in taxi.reports().items():
+        df.collect()
+    reports = parking.reports(fines=fine_table(spark, FINES))
+    assert set(ParkingStudy.REPORTS) | {"fine_revenue", "revenue_total", "top_revenue_code"} == set(reports)
+    for name, df in reports.items():
+        df.collect()
