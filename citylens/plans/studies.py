@@ -103,6 +103,8 @@ class TaxiStudy:
     holiday_days: tuple = (25, 31)
     bad_rate_code: int = 99
     tip_edges: tuple = (0, 5, 10, 15, 20)
+    # the in-period trips once written (``with_materialized_clean``); None: derived from ``trips``
+    clean_table: DataFrame | None = None
 
     def c(self, key: str) -> str:
         return self.columns[key]
@@ -116,8 +118,6 @@ class TaxiStudy:
     def dropoff_ranges(self):
         return year_ranges([self.year, self.year + 1])
 
-    clean_table: DataFrame | None = None
-
     def clean(self) -> DataFrame:
         """In-period trips: pickup in the months of the year, dropoff in that year or the next."""
         if self.clean_table is not None:
