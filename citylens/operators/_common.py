@@ -4,6 +4,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def as_list(x) -> list:
@@ -15,10 +16,16 @@ def as_list(x) -> list:
 
 
 def exclude_values(df: DataFrame, col: str, exclude: Iterable | None) -> DataFrame:
-    """Drop rows whose ``col`` is one of ``exclude``; ``None`` in the list drops NULLs."""
+    """Drop rows whose ``col`` is one of ``exclude``; ``None`` in the list drops NULLs.
+
+    On a text column the values are compared as text (``0`` matches ``"0"``),
+    so the same exclusion works on typed and all-text files.
+    """
     if not exclude:
         return df
     values = [v for v in exclude if v is not None]
+    if values and isinstance(df.schema[col].dataType, StringType):
+        values = [str(v) for v in values]
     out = df
     if any(v is None for v in exclude):
         out = out.filter(F.col(col).isNotNull())

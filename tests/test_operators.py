@@ -234,3 +234,9 @@ def test_empty_inputs(spark):
     assert drop_sparse_columns(df).columns == ["s", "x"]
     assert null_profile(df).first().fraction is None
     assert summary_percentiles(df, "x").first().p50 is None
+
+
+def test_exclude_on_text_column(spark):
+    df = spark.createDataFrame([("0",), ("0",), ("19",), ("14",), ("NA",)], "precinct string")
+    got = [tuple(r) for r in top_n(df, "precinct", 5, exclude=(0, None)).collect()]
+    assert got == [("14", 1), ("19", 1), ("NA", 1)]
