@@ -53,6 +53,7 @@ from citylens.operators import (
     with_date_parts,
     worst_offender,
 )
+from citylens.operators._common import exclude_values
 from citylens.sources.tables import materialize, union_months
 
 # Headers of the monthly trip file.
@@ -476,12 +477,12 @@ class ParkingStudy:
 
     def yearly_code_comparison(self):
         code = self.c("code")
-        t = self.tickets.filter(F.col(code) != 0)
+        t = exclude_values(self.tickets, code, (0, None))
         return compare_years(t, F.year(self.issue()), {"tickets": F.count(F.lit(1))}, by=code)
 
     def yearly_code_pivot(self):
         code = self.c("code")
-        t = self.tickets.filter(F.col(code) != 0)
+        t = exclude_values(self.tickets, code, (0, None))
         return pivot_years(t, F.year(self.issue()), self.compare_years, code, F.count(F.lit(1)), fill=0)
 
     REPORTS = (

@@ -198,3 +198,13 @@ def test_every_report_runs_on_real_layouts(taxi, parking, spark):
     assert set(ParkingStudy.REPORTS) | {"fine_revenue", "revenue_total", "top_revenue_code"} == set(reports)
     for name, df in reports.items():
         df.collect()
+
+
+def test_parking_reports_on_an_all_text_file(parking, spark):
+    # the same file read without types (as an untyped yearly file would be): every report still runs
+    text = parking.tickets.select(*[parking.tickets[c].cast("string").alias(c) for c in parking.tickets.columns])
+    study = ParkingStudy(text, year=2015)
+    for name, df in study.reports(fines=fine_table(spark, FINES)).items():
+        df.collect()
+    assert [tuple(r) for r in study.top_codes().collect()][:2] == [("21", 9), ("40", 4)]
+    assert study.ticket_count_in_year().first().n == 19
