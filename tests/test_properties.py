@@ -81,3 +81,30 @@ def test_time_bin_matches_python(spark, hours):
         else:
             assert r.l == h // 4 + 1
             assert r.r == (1 if h <= 4 else min(6, (h - 1) // 4 + 1) if h <= 20 else 6)
+
+
+def _lenient_py(t):
+    """The lenient contract: hh (0-23), mm (0-59), A/P; P and hh < 12 -> +12; A and hh == 12 -> 0."""
+    if t is None:
+        return None
+    s = t.strip().upper()
+    if len(s) != 5 or not s[:4].isdigit() or s[4] not in "AP":
+        return None
+    hh, mm = int(s[:2]), int(s[2:4])
+    if hh > 23 or mm > 59:
+        return None
+    if s[4] == "P" and hh < 12:
+        return hh + 12
+    if s[4] == "A" and hh == 12:
+        return 0
+    return hh
+
+
+@SETTINGS
+@given(texts=st.lists(st.one_of(st.none(), st.text(alphabet="0123456789AaPpM :", min_size=0, max_size=7)), min_size=1, max_size=40))
+def test_lenient_clock_matches_contract(spark, texts):
+    from citylens.functions import parse_clock
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.h for r in df.select(parse_clock("t", lenient=True).alias("h")).collect()]
+    assert got == [_lenient_py(t) for t in texts]
