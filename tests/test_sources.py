@@ -80,3 +80,11 @@ def test_read_ticket_years_with_drift(spark):
     assert dict(out.dtypes) == {"Summons_Number": "bigint", "Violation_Code": "int", "Days_Parking_In_Effect": "string", "year": "int"}
     rows = sorted(tuple(r) for r in out.collect())
     assert rows == [(1, 21, "YYYYYYY", 2015), (2, None, None, 2015), (3, 38, None, 2016), (4, None, None, 2017)]
+
+
+def test_materialize_as_catalog_table(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    out = materialize(df, name="catalog-test", table="citylens_test_table")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a"), (2, "b")]
+    assert sorted(tuple(r) for r in spark.table("citylens_test_table").collect()) == [(1, "a"), (2, "b")]
+    spark.sql("DROP TABLE IF EXISTS citylens_test_table")
