@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,56 @@ class WordIndex(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+class WordTable:
+    """Reads texts as the values of their white-space words; the values of a distinct word are worked out once.
+
+    ``values_of`` gives the list of integers of each of some words.  When
+    more than ``limit`` words are numbered, those met once are forgotten.
+    """
+
+    def __init__(self, values_of: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
+        self.values_of, self.limit = values_of, limit
+        self.index = WordIndex()
+        self.flat = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.argsort(-self.used, kind="stable")[: self.limit // 2]
+        names = list(self.index)
+        self.index = WordIndex()
+        self.index.update((names[i], n) for n, i in enumerate(kept.tolist()))
+        self.flat = self.flat[ragged(self.starts[kept], self.lengths[kept])]
+        self.lengths, self.used = self.lengths[kept], self.used[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _learn(self) -> None:
+        values = self.values_of(self.index.fresh)
+        self.index.fresh = []
+        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.zeros(len(values), dtype=np.int64)])
+        flat = np.fromiter(chain.from_iterable(values), dtype=np.int64, count=int(lengths.sum()))
+        self.flat = np.concatenate([self.flat, flat])
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all texts in a row, and the number of the text each belongs to."""
+        if len(self.index) > self.limit:
+            self._forget()
+        numbers = [self.index.number(t.split()) for t in texts]
+        if self.index.fresh:
+            self._learn()
+        words = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
+        self.used += np.bincount(words, minlength=len(self.used))
+        owner = np.repeat(np.arange(len(texts)), [len(n) for n in numbers])
+        lengths = self.lengths[words]
+        return self.flat[ragged(self.starts[words], lengths)], np.repeat(owner, lengths)
+
+
 def sorted_groups(
     batches: Iterator[pa.RecordBatch], keys: list[str]
 ) -> Iterator[pa.Table]:
