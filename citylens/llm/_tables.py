@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package on the import path of local Python workers.
+
+    A cluster gets the package from the launcher (``--py-files`` or its image).
+    """
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[2])
+    paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if context.master.startswith("local") and root not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([root, *[p for p in paths if p]])
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

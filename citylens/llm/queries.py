@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from citylens.llm import bpe, idfile, lm, mixture, quality, simhash, topk
+from citylens.llm import bpe, idfile, imatch, lm, mixture, quality, secrets, simhash, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_lattice_lm": lm.op2_lattice_lm,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_id_files": idfile.op4_id_files,
+    "op5_secrets": secrets.op5_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_cube_mixture": mixture.op8_cube_mixture,
+    "op9_imatch": imatch.op9_imatch,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
 
 ORACLE = {
+    "op5_secrets": secrets.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
 }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citylens.llm._tables import stored
+from citylens.llm._tables import documents, stored
 
 #: Vectors of one block; a score array has QUERY_STRIP x CANDIDATE_BLOCK entries.
 CANDIDATE_BLOCK = 8192
@@ -159,8 +159,7 @@ def exact_top_k(
 
 
 def op10_exact_top_k(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
-    return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
+    return exact_top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 ORACLE = """
