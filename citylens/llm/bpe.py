@@ -31,7 +31,7 @@ from citylens.llm._tables import bytes_of, documents, fresh, slices
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Positions of a piece whose matches are held at once, pieces and pairs memoised per worker.
 WINDOW = 4096
-MEMO = 400_000
+MEMO = 250_000
 
 
 class _Pieces(dict):
@@ -193,28 +193,37 @@ def _shared(df: DataFrame, ranks_file: str) -> Broadcast:
 
 def encode_texts(
     df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_file: str = RANKS,
-    pattern: str = public_tokenizers.PATTERN, keep: Sequence[str] | None = None,
+    pattern: str = public_tokenizers.PATTERN, keep: Sequence[str] | None = None, bytes_col: str | None = None,
 ) -> DataFrame:
     """The ``keep`` columns (all) plus ``ids_col``: the token ids of each whole text (NULL or empty: no ids).
 
-    A column named like ``ids_col`` is replaced.  No special tokens.
+    With ``bytes_col`` the bytes decoded from the ids come along, from the
+    same worker (a vocabulary in memory once instead of twice per task).
+    Columns named like the new ones are replaced.  No special tokens.
     """
     ranks = _shared(df, ranks_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(ranks.value, pattern)
-        for batch in slices(batches, 512):
-            sizes, flat = [0], []
+        for batch in slices(batches, 256):
+            sizes, flat, back = [0], [], []
             for text in batch.column(batch.num_columns - 1):
-                flat.append(np.array(bpe.encode(text.as_py().decode("utf-8", "replace")), dtype=np.int32))
-                sizes.append(len(flat[-1]))
+                found = bpe.encode(text.as_py().decode("utf-8", "replace"))
+                flat.append(np.array(found, dtype=np.int32))
+                sizes.append(len(found))
+                if bytes_col is not None:
+                    back.append(bpe.decode(found))
             offsets = pa.array(np.cumsum(sizes), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, ids], names=[*batch.schema.names[:-1], ids_col])
+            made = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))]
+            if bytes_col is not None:
+                made.append(pa.array(back, pa.binary()))
+            old = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*old, *made], names=schema.names)
 
-    kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (ids_col, bytes_col)]
     schema = T.StructType([df.schema[c] for c in kept]).add(ids_col, T.ArrayType(T.IntegerType()))
+    if bytes_col is not None:
+        schema = schema.add(bytes_col, T.BinaryType())
     return df.select(*[f"`{c}`" for c in kept], bytes_of(text_col).alias(fresh(df, "__utf8"))).mapInArrow(run, schema)
 
 
@@ -229,7 +238,7 @@ def decode_ids(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(ranks.value, public_tokenizers.PATTERN)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 256):
             column = batch.column(batch.num_columns - 1)
             offsets, values = np.asarray(column.offsets), column.values.to_numpy(zero_copy_only=False).tolist()
             decoded = pa.array([bpe.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())
@@ -244,7 +253,7 @@ def decode_ids(
 
 def digest(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc_id`` with the number and digest of the ids and the digest of the bytes decoded from them."""
-    decoded = decode_ids(encode_texts(df, text_col, keep=["doc_id"]))
+    decoded = encode_texts(df, text_col, keep=["doc_id"], bytes_col="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
