@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citylens.llm import bpe, idfile, imatch, lm, mixture, quality, secrets, simhash, topk
+from citylens.llm import bpe, idfile, imatch, lm, mixture, passages, quality, secrets, simhash, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_id_files": idfile.op4_id_files,
     "op5_secrets": secrets.op5_secrets,
+    "op6_passages": passages.op6_passages,
     "op7_simhash": simhash.op7_simhash,
     "op8_cube_mixture": mixture.op8_cube_mixture,
     "op9_imatch": imatch.op9_imatch,
