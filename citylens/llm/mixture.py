@@ -196,6 +196,7 @@ def mix_sources(
     weights: Sequence[float] = WEIGHTS,
     max_repeat: float = MAX_REPEAT,
     block_rows: int = BLOCK_ROWS,
+    keep_sizes: bool = True,
 ) -> DataFrame:
     """The ``carry`` columns of every row with ``size``, ``source_size``, ``target`` and ``copies`` (0..max_repeat).
 
@@ -203,6 +204,8 @@ def mix_sources(
     not on how they are partitioned.  NULL text counts as empty, NULL is a
     source of its own, a source without words has target 0; an empty table
     gives an empty result.  Equal rows share a block and are drawn one by one.
+    ``keep_sizes=False`` counts the words twice instead of writing the carried
+    columns with their sizes first (for wide rows).
     """
     ids = [F.col(f"`{c}`") for c in id_cols]
     fields = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")]
@@ -212,11 +215,10 @@ def mix_sources(
         word_count(text_col).alias("size"),
         F.xxhash64(*ids, F.col(f"`{source_col}`"), text_of(text_col)).alias("row_hash"),
     )
-    # Narrow rows are kept with their sizes; rows that carry the text are counted again instead of being written.
-    if text_col in carry:
-        sizes = stored(sized.select("source", "size"), "mix-sizes")
-    else:
+    if keep_sizes:
         sizes = sized = stored(sized, "mix-sizes")
+    else:
+        sizes = stored(sized.select("source", "size"), "mix-sizes")
     targets = stored(source_targets(sizes, weights, max_repeat).coalesce(1), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     t = targets.withColumnRenamed("source", "count_source")
@@ -248,6 +250,20 @@ def mix_sources(
     return out.select(*[F.col("row").getField(c).alias(c) for c in carry], "size", "source_size", "target", copies)
 
 
+def take_copies(
+    df: DataFrame, text_col: str = "text", source_col: str = "source", id_cols: Sequence[str] = ("doc_id",), **options
+) -> DataFrame:
+    """The mix as rows: every row of ``df``, with its columns, as many times as it is taken."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+    names = {text_col: "mix_text", source_col: "mix_source", **{c: f"mix_id{i}" for i, c in enumerate(id_cols)}}
+    rows = df.select(whole, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    mixed = mix_sources(
+        rows, "mix_text", "mix_source", [names[c] for c in id_cols], carry=["doc"], keep_sizes=False, **options
+    )
+    taken = mixed.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
+
+
 def op8_cube_mixture(spark, sf_dir):
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.select(

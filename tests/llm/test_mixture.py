@@ -82,11 +82,17 @@ def test_odd_rows(spark):
     assert [(r.size, r.target, r.copies) for r in nothing] == [(0, 0.0, 0)] * 2
 
 
-def test_carried_text_takes_the_same_draw(spark):
+def test_copies_follow_the_draw(spark):
     df = frame(spark, [(i, prose(i, 20), f"s{i % 2}") for i in range(200)])
-    narrow = {r.doc_id: r.copies for r in mixed(df)}
-    wide = {r.doc_id: r.copies for r in mixed(df, carry=df.columns)}
-    assert narrow == wide
+    copies = {r.doc_id: r.copies for r in mixed(df) if r.copies}
+    for keep in (True, False):
+        assert {r.doc_id: r.copies for r in mixed(df, carry=df.columns, keep_sizes=keep) if r.copies} == copies
+    taken = M.take_copies(df)
+    assert taken.columns == df.columns
+    assert {r.doc_id: r["count"] for r in taken.groupBy("doc_id").count().collect()} == copies
+    odd = odd_frame(spark)
+    assert M.take_copies(odd).columns == odd.columns
+    assert M.take_copies(empty_frame(spark)).count() == 0
 
 
 def test_query(spark):
