@@ -6,10 +6,3 @@ from pyspark.sql import functions as F
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
-
-
-def col_name(c: Column | str) -> str:
-    """Best-effort output name of a column (for aliasing results)."""
-    if isinstance(c, str):
-        return c
-    return c._jc.toString().strip("`")

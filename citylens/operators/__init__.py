@@ -1,6 +1,7 @@
 """DataFrame -> DataFrame operators (usable with ``df.transform``)."""
 
 from citylens.operators.columns import (
+    count_date_parts,
     drop_sparse_columns,
     missing_fractions,
     normalize_columns,
@@ -45,6 +46,7 @@ from citylens.operators.stats import (
     avg_speed_vs_overall,
     correlation,
     distinct_count,
+    exact_percentiles,
     fraction_where,
     mean_vs_median,
     summary_percentiles,

@@ -42,7 +42,3 @@ def total_of(counts: DataFrame, col: str = "count") -> Column:
     single-partition window over all groups.
     """
     return counts.select(F.sum(col)).scalar()
-
-
-def ordered(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
-    return df.orderBy(*keys) if keys else df

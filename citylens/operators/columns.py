@@ -73,7 +73,16 @@ def with_date_parts(
 
     ``date`` names a column for the parsed date (omit to keep only the parts).
     """
-    parsed = parse_date(col, fmt)
-    out = df.withColumn(date, parsed) if date else df
-    src = F.col(date) if date else parsed
-    return out.withColumn(year, F.year(src)).withColumn(month, F.month(src))
+    parsed = date or "__parsed"
+    out = df.withColumn(parsed, parse_date(col, fmt))
+    out = out.withColumns({year: F.year(parsed), month: F.month(parsed)})
+    return out if date else out.drop(parsed)
+
+
+def count_date_parts(
+    df: DataFrame, col: str, fmt: str = "M/d/yyyy", year: str = "year", month: str = "month", name: str = "count"
+) -> DataFrame:
+    """Rows per year and month of date text: the rows are counted by text first, each distinct text is parsed once."""
+    by_text = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
+    parts = with_date_parts(by_text, col, fmt, year=year, month=month)
+    return parts.groupBy(year, month).agg(F.sum("__n").alias(name))

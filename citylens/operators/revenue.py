@@ -38,8 +38,8 @@ def fine_revenue(
 ) -> DataFrame:
     """Tickets x average fine for the ``k`` most frequent codes: (code, tickets, avg_fine, total).
 
-    The tickets are aggregated before the lookup, so only ``k`` rows meet
-    the fine table; those ``k`` rows are the broadcast side.
+    A code without a fine stays, with NULL fine and total.  The tickets are
+    aggregated before the lookup, so only ``k`` rows meet the fine table.
     """
     avg = (F.col(zone_a) + F.col(zone_b)) / F.lit(2.0)
     if "average" in fines.columns:
@@ -47,16 +47,17 @@ def fine_revenue(
     lookup = fines.select(F.col(code), avg.alias("avg_fine"))
     top = top_n(df, code, k, exclude, name="tickets")
     return (
-        F.broadcast(top)
-        .join(lookup, on=code, how="inner")
+        top.join(lookup, on=code, how="left")
         .select(code, "tickets", "avg_fine", (F.col("tickets") * F.col("avg_fine")).alias("total"))
     )
 
 
 def revenue_total(rev: DataFrame, name: str = "total") -> DataFrame:
-    return rev.agg(F.sum("total").alias(name))
+    """The sum of the known totals, and the tickets whose code has no fine."""
+    without = F.coalesce(F.sum(F.when(F.col("total").isNull(), F.col("tickets"))), F.lit(0))
+    return rev.agg(F.sum("total").alias(name), without.alias("tickets_without_fine"))
 
 
 def top_revenue_code(rev: DataFrame, code: str = "violation_code") -> DataFrame:
     """The code with the highest total (one row; a tie goes to the lower code)."""
-    return rev.orderBy(F.desc("total"), F.asc(code)).limit(1).select(code, "total")
+    return rev.orderBy(F.desc_nulls_last("total"), F.asc(code)).limit(1).select(code, "total")

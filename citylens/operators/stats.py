@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylens.functions.speed import speed_mph
 from citylens.operators._common import as_list
+from citylens.sources.tables import materialize
 
 
 def distinct_count(
@@ -48,27 +49,69 @@ def summary_percentiles(
     """Average and percentiles of ``col`` in one row (or one row per group).
 
     Default: ``percentile_approx`` (a mergeable sketch with bounded memory,
-    returns an actual element).  ``exact=True`` uses ``percentile``
-    (linear interpolation, needs every distinct value of the group).
+    returns an actual element).  ``exact=True`` interpolates linearly like
+    ``percentile``; without ``by`` it is worked out by ``exact_percentiles``,
+    with ``by`` every distinct value of a group is held by one task.
     """
     c = F.col(col)
     ps = list(ps)
-    q = F.percentile(c, ps) if exact else F.percentile_approx(c, ps, accuracy)
     keys = as_list(by)
+    if exact and not keys:
+        found = exact_percentiles(df, col, ps)
+        one = df.agg(F.avg(c).alias("avg"))
+        return one.select("avg", *[found.select(_pname(p)).scalar().alias(_pname(p)) for p in ps])
+    q = F.percentile(c, ps) if exact else F.percentile_approx(c, ps, accuracy)
     agg = df.groupBy(*keys).agg(F.avg(c).alias("avg"), q.alias("__q"))
     return agg.select(*keys, "avg", *[F.col("__q")[i].alias(_pname(p)) for i, p in enumerate(ps)])
 
 
+def exact_percentiles(df: DataFrame, col: str, ps: Sequence[float]) -> DataFrame:
+    """One row with a column per percentile, interpolated linearly like ``percentile``.
+
+    Rows are counted per distinct value, the values dealt in ranges and
+    written once; only one count per range is summed up in order, and each
+    range finds its own ranks, so no task holds all values.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    values = materialize(ranged, name="value-counts")
+    totals = values.groupBy("part").agg(F.sum("n").alias("size"))
+    # one row per range
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
+    starts = totals.select(F.col("part").alias("of"), before.alias("before"))
+    inside = Window.partitionBy("part").orderBy("v")
+    ranked = values.join(starts, F.col("part") == F.col("of")).select(
+        "v", (F.col("before") + F.sum("n").over(inside)).alias("upto"), "n"
+    )
+    total = totals.select(F.sum("size")).scalar()
+    at = {p: (total - 1) * F.lit(float(p)) for p in ps}
+
+    def value_at(rank):
+        holds = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(holds, F.col("v")))
+
+    ends = ranked.select("v", "n", "upto", *[at[p].alias(f"r{i}") for i, p in enumerate(ps)])
+    picked = ends.agg(
+        *[value_at(F.floor(f"r{i}")).alias(f"lo{i}") for i in range(len(ps))],
+        *[value_at(F.ceil(f"r{i}")).alias(f"hi{i}") for i in range(len(ps))],
+        *[F.max(F.col(f"r{i}") - F.floor(f"r{i}")).alias(f"f{i}") for i in range(len(ps))],
+    )
+    mixed = lambda i: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")
+    return picked.select(*[mixed(i).alias(_pname(p)) for i, p in enumerate(ps)])
+
+
 def mean_vs_median(df: DataFrame, col: str, exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """Is the mean representative?  (mean, median, ratio = mean / median).
 
     Default median: ``percentile_approx`` (bounded memory per group).
-    ``exact=True`` interpolates like ``percentile``; it holds every
-    distinct value of the column, so keep it for bounded domains (money in
-    cents, counts).
+    ``exact=True`` interpolates like ``percentile`` (``exact_percentiles``).
     """
     c = F.col(col)
-    med = F.median(c) if exact else F.percentile_approx(c, 0.5, accuracy)
+    if exact:
+        median = exact_percentiles(df, col, [0.5]).scalar()
+        one = df.agg(F.avg(c).alias("mean")).select("mean", median.alias("median"))
+        return one.withColumn("ratio", F.try_divide(F.col("mean"), F.col("median")))
+    med = F.percentile_approx(c, 0.5, accuracy)
     return df.agg(F.avg(c).alias("mean"), med.cast("double").alias("median")).withColumn(
         "ratio", F.try_divide(F.col("mean"), F.col("median"))
     )

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citylens.functions import parse_date, year_ranges
-from citylens.operators import clean_period, compare_years, normalize_columns, shape_report
+from citylens.functions import parse_date
+from citylens.operators import compare_years, normalize_columns, shape_report
 from citylens.plans.parking import DISPLAY_NAMES
 from citylens.plans.taxi import clean
 from citylens.schemas import ticket_schema
 from citylens.session import scratch_path
-from citylens.sources import materialize, read_ticket_years, read_tickets, read_trips, with_year_month, write_csv
+from citylens.sources import count_malformed, materialize, read_ticket_years, read_tickets, read_trips, with_year_month, write_csv
 from citylens.sources import views as V
 
 
@@ -33,33 +35,115 @@ def csv_tickets(spark, sf):
     return tidy.withColumn("issue_date", parse_date("issue_date"))
 
 
-# Yearly files whose layouts drift: one year carries an extra column, another lacks one.
-YEAR_LAYOUTS = {
-    1996: {"add": [], "drop": []},
-    1997: {"add": ["Meter Number"], "drop": []},
-    1998: {"add": [], "drop": ["Intersecting Street"]},
-}
+# Yearly files whose layouts drift: some years carry an extra column, one lacks one.
+EXTRA_COLUMN = "Meter Number"
+YEARS_WITH_EXTRA = (1997, 2000)
+YEAR_WITHOUT_CROSS = 1998
 
 
 def csv_ticket_years(spark, sf):
-    """Three yearly ticket files with drifting columns, read as one table and compared year on year."""
+    """Yearly ticket files with drifting columns, read as one table and compared year on year.
+
+    The tickets are built and written once, one folder per year and layout.
+    """
+    t = V.tickets(spark, sf).withColumn("year", F.year("issue_ts"))
+    t = t.withColumn("issue_ts", F.date_format("issue_ts", "MM/dd/yyyy"))
+    raw = t.toDF(*[DISPLAY_NAMES.get(c, c) for c in t.columns])
+    once = materialize(raw, partition_by=("year",), name="ticket-years")
+    years = sorted(r[0] for r in once.select("year").distinct().collect())  # one number per folder
     paths = {}
-    for year, layout in YEAR_LAYOUTS.items():
-        t = clean_period(V.tickets(spark, sf), {"issue_ts": year_ranges([year])})
-        t = t.withColumn("issue_ts", F.date_format("issue_ts", "MM/dd/yyyy"))
-        raw = t.toDF(*[DISPLAY_NAMES[c] for c in t.columns])
-        for name in layout["add"]:
-            raw = raw.withColumn(name, F.lit(None).cast("string"))
-        raw = raw.drop(*layout["drop"])
-        paths[year] = write_csv(raw, scratch_path(spark, f"tickets-{year}"))
+    for year in years:
+        one = once.filter(F.col("year") == year).drop("year")
+        if year in YEARS_WITH_EXTRA:
+            one = one.withColumn(EXTRA_COLUMN, F.lit(None).cast("string"))
+        if year == YEAR_WITHOUT_CROSS:
+            one = one.drop(DISPLAY_NAMES["intersecting_street"])
+        paths[year] = write_csv(one, scratch_path(spark, f"tickets-{year}"))
     core = ["summons_number", "registration_state", "issue_date", "violation_code", "intersecting_street"]
     stacked = read_ticket_years(spark, paths, keep=core, lower=True)
-    metrics = {
-        "tickets": F.count_distinct("summons_number"),
-        "states": F.count_distinct("registration_state"),
-        "no_cross_street": F.count_if(F.col("intersecting_street").isNull()),
-    }
-    return compare_years(stacked, "year", metrics)
+    metrics = {"rows": F.count(F.lit(1)), "no_cross_street": F.count_if(F.col("intersecting_street").isNull())}
+    return compare_years(stacked, "year", metrics, distinct={"tickets": "summons_number", "states": "registration_state"})
+
+
+def _ticket_files(spark, sf):
+    t = V.tickets(spark, sf).withColumn("issue_ts", F.date_format("issue_ts", "MM/dd/yyyy"))
+    raw = t.toDF(*[DISPLAY_NAMES[c] for c in t.columns])
+    return write_csv(raw, scratch_path(spark, "csv-tickets"))
+
+
+def csv_tickets_inferred(spark, sf):
+    """The ticket files with Spark's own types."""
+    back = normalize_columns(read_tickets(spark, _ticket_files(spark, sf), infer=True), lower=True)
+    return back.groupBy("violation_code").agg(
+        F.count("summons_number").alias("tickets"), F.sum("violation_precinct").cast("long").alias("precincts"),
+        F.max("issue_date").alias("last_text"),
+    )
+
+
+def csv_tickets_text(spark, sf):
+    """The ticket files with every column as text."""
+    back = normalize_columns(read_tickets(spark, _ticket_files(spark, sf), typed=False), lower=True)
+    return back.select("summons_number", "registration_state", "issue_date", "violation_code", "street_name")
+
+
+TRIP_LINE = ["vendor_id", "pickup_ts", "dropoff_ts", "passenger_count", "fare_amount", "tip_amount"]
+
+
+def _trip_lines(spark, sf, odd: str | None = None):
+    """Monthly trip files as they come: a header, a blank second line, then the trips (one month per folder).
+
+    ``odd`` is written for 6 passengers.
+    """
+    trips = V.trips(spark, sf).select(*TRIP_LINE)
+    schema = T.StructType([trips.schema[c] for c in TRIP_LINE])
+    if odd is not None:
+        text = F.when(F.col("passenger_count") == 6, F.lit(odd)).otherwise(F.col("passenger_count").cast("string"))
+        trips = trips.withColumn("passenger_count", text)
+    month = F.date_format("pickup_ts", "yyyy-MM")
+    lines = trips.select(month.alias("month"), F.lit(2).alias("kind"), F.concat_ws(",", *[
+        F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRIP_LINE]).alias("line"))
+    starts = F.array(F.struct(F.lit(0).alias("kind"), F.lit(",".join(TRIP_LINE)).alias("line")),
+                     F.struct(F.lit(1).alias("kind"), F.lit("").alias("line")))
+    heads = trips.select(month.alias("month")).distinct().select("month", F.inline(starts))
+    path = scratch_path(spark, "trip-lines")
+    # a month is one file here: the header stands once, at its top
+    ordered = heads.unionByName(lines).repartition("month").sortWithinPartitions("month", "kind")
+    ordered.select("month", "line").write.partitionBy("month").text(path)
+    return path, schema
+
+
+def csv_trips_blank_line(spark, sf):
+    """Trip files whose second line is blank: no trip is lost, none is made up."""
+    path, schema = _trip_lines(spark, sf)
+    return read_trips(spark, f"{path}/*/", schema=schema).select(*TRIP_LINE)
+
+
+def csv_malformed(spark, sf):
+    """Trip lines with a text where a number belongs, counted instead of lost without a trace."""
+    path, schema = _trip_lines(spark, sf, odd="six")
+    return count_malformed(spark, f"{path}/*/", schema)
+
+
+def filter_text(spark, sf):
+    """A filter written as SQL text."""
+    return V.trips(spark, sf).filter("passenger_count > 4 AND trip_distance < 10 AND tip_amount < 0")
+
+
+def materialize_table(spark, sf):
+    """The cleaned trips as a named catalog table, queried by name."""
+    name = f"citylens_clean_trips_{uuid.uuid4().hex[:12]}"
+    cleaned = with_year_month(clean(V.trips(spark, sf)), "pickup_ts")
+    materialize(cleaned, partition_by=("year", "month"), name="clean-trips-table", table=name)
+    return spark.sql(f"SELECT month, vendor_id, count(*) AS trips FROM {name} WHERE year = 1997 GROUP BY month, vendor_id")
+
+
+def materialize_months(spark, sf):
+    """Two monthly loads into one partitioned folder: the second keeps the first."""
+    path = scratch_path(spark, "monthly-trips")
+    trips = with_year_month(V.trips(spark, sf), "pickup_ts").filter("year = 1997")
+    for month in (11, 12):
+        out = materialize(trips.filter(F.col("month") == month), path, partition_by=("year", "month"))
+    return out.groupBy("year", "month").agg(F.count("*").alias("trips"))
 
 
 def materialize_q(spark, sf):
@@ -76,6 +160,13 @@ QUERIES = {
     "csv_trips": csv_trips,
     "csv_tickets": csv_tickets,
     "csv_ticket_years": csv_ticket_years,
+    "csv_tickets_inferred": csv_tickets_inferred,
+    "csv_tickets_text": csv_tickets_text,
+    "csv_trips_blank_line": csv_trips_blank_line,
+    "csv_malformed": csv_malformed,
+    "filter_text": filter_text,
+    "materialize_table": materialize_table,
+    "materialize_months": materialize_months,
     "materialize": materialize_q,
     "shape_report": shape_report_q,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylens.operators import drop_sparse_columns, normalize_columns, select_range
+from citylens.operators import drop_sparse_columns, fine_revenue, fine_table, normalize_columns, select_range
 from citylens.plans import params as P
 from citylens.plans.studies import ParkingStudy
 from citylens.sources import views as V
@@ -24,7 +24,7 @@ VIEW_COLUMNS = {
     "street": "street_name",
     "cross": "intersecting_street",
 }
-CLOCK_COLUMNS = {"summons": "event_id", "code": "violation_code", "time": "violation_time"}
+CLOCK_COLUMNS = {"summons": "event_id", "issue": "issue_ts", "code": "violation_code", "time": "violation_time"}
 
 # Header names as a ticket file would carry them (spaces, trailing blanks, "?").
 DISPLAY_NAMES = {
@@ -42,11 +42,11 @@ DISPLAY_NAMES = {
 }
 
 
-def study(df: DataFrame, columns: dict) -> ParkingStudy:
+def study(df: DataFrame, columns: dict, year: int = P.TICKET_YEAR) -> ParkingStudy:
     return ParkingStudy(
         df,
         columns=dict(columns),
-        year=P.TICKET_YEAR,
+        year=year,
         top_n=P.TOP_N,
         top_k=P.TOP_K,
         common_per_group=P.COMMON_PER_GROUP,
@@ -59,7 +59,7 @@ def tickets_study(spark: SparkSession, sf: str) -> ParkingStudy:
 
 
 def clock_study(spark: SparkSession, sf: str) -> ParkingStudy:
-    return study(V.clock_tickets(spark, sf), CLOCK_COLUMNS)
+    return study(V.clock_tickets(spark, sf), CLOCK_COLUMNS, P.CLOCK_YEAR)
 
 
 def _on_tickets(method: str):
@@ -92,6 +92,15 @@ def date_parts(spark, sf):
     return study(t, {"issue": "issue_date"}).date_parts()
 
 
+def fine_revenue_stated(spark, sf):
+    """Every code's revenue by the stated fines, one of which is only an average."""
+    t = study(V.tickets(spark, sf), VIEW_COLUMNS)
+    stated = fine_table(spark)
+    return fine_revenue(t.clean(), stated, "violation_code", k=50).select(
+        "violation_code", "tickets", "avg_fine", "total"
+    )
+
+
 # -- column tidying ----------------------------------------------------------------
 
 def drop_sparse(spark, sf):
@@ -136,5 +145,6 @@ QUERIES.update({m: _on_clock(m) for m in _CLOCK_METHODS})
 QUERIES["top_bins_per_code"] = _on_clock("top_bins_per_code", exclude=(None,))
 QUERIES.update({m: _on_tickets(m) for m in _SEASON_YEAR_METHODS})
 QUERIES["date_parts"] = date_parts
+QUERIES["fine_revenue_stated"] = fine_revenue_stated
 QUERIES.update({m: _on_fines(m) for m in ("fine_revenue", "revenue_total", "top_revenue_code")})
 QUERIES.update({m: _on_tickets(m) for m in ("yearly_comparison", "yearly_code_comparison", "yearly_code_pivot")})

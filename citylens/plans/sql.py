@@ -10,12 +10,10 @@ from citylens.sources import views as V
 TOP_CODES_PER_BIN = """
 WITH hours AS (
   SELECT violation_code, hour(try_to_timestamp(concat(violation_time, 'M'), 'hhmma')) AS hour
-  FROM clock_tickets),
+  FROM clock_tickets
+  WHERE issue_ts >= timestamp_ntz '2024-01-01' AND issue_ts < timestamp_ntz '2025-01-01'),
 bins AS (
-  SELECT violation_code,
-         CASE WHEN hour < 4 THEN 1 WHEN hour < 8 THEN 2 WHEN hour < 12 THEN 3
-              WHEN hour < 16 THEN 4 WHEN hour < 20 THEN 5 ELSE 6 END AS bin
-  FROM hours WHERE hour IS NOT NULL),
+  SELECT violation_code, CAST(hour div 4 + 1 AS INT) AS bin FROM hours WHERE hour IS NOT NULL),
 counts AS (SELECT bin, violation_code, count(*) AS count FROM bins GROUP BY bin, violation_code)
 SELECT bin, violation_code, count, rank FROM (
   SELECT bin, violation_code, count, dense_rank() OVER (PARTITION BY bin ORDER BY count DESC) AS rank
@@ -25,9 +23,8 @@ WHERE rank <= 3
 
 SEASON_SHARE = """
 WITH s AS (
-  SELECT CASE WHEN month(issue_ts) IN (12, 1, 2) THEN 'Winter' WHEN month(issue_ts) IN (3, 4, 5) THEN 'Spring'
-              WHEN month(issue_ts) IN (6, 7, 8) THEN 'Summer' WHEN month(issue_ts) IN (9, 10, 11) THEN 'Autumn' END AS season
-  FROM tickets),
+  SELECT element_at(array('Winter', 'Spring', 'Summer', 'Autumn'), CAST((month(issue_ts) % 12) div 3 + 1 AS INT)) AS season
+  FROM tickets WHERE issue_ts >= timestamp_ntz '1997-01-01' AND issue_ts < timestamp_ntz '1998-01-01'),
 c AS (SELECT season, count(*) AS count FROM s GROUP BY season)
 SELECT season, count, CAST(count AS DOUBLE) * 100.0 / CAST((SELECT sum(count) FROM c) AS DOUBLE) AS share FROM c
 """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citylens.operators import trip_rules
@@ -15,13 +14,12 @@ from citylens.streaming import incremental_count_by, incremental_rule_counts, re
 
 
 def _landed_trips(spark, sf):
-    """Write the trips as monthly CSV folders (one folder per pickup year-month) and stream them."""
+    """Write the trips as CSV files and stream them."""
     trips = V.trips(spark, sf)
     root = scratch_path(spark, "trip-files")
-    # one group of files per pickup month, like the monthly files of the source
-    write_csv(trips.repartition(F.date_format("pickup_ts", "yyyy-MM")), root)
+    write_csv(trips.hint("rebalance"), root)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in trips.schema.fields])
-    return read_csv_stream(spark, root, schema, max_files_per_trigger=2)
+    return read_csv_stream(spark, root, schema)
 
 
 def stream_rule_counts(spark, sf):

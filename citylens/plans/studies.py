@@ -9,6 +9,7 @@ test queries are these same methods applied to the test views.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ from citylens.operators import (
     compare_years,
     correlation,
     count_by,
+    count_date_parts,
     distinct_count,
     distinct_values,
     drop_missing,
@@ -50,7 +52,6 @@ from citylens.operators import (
     top_n,
     top_revenue_code,
     trip_rules,
-    with_date_parts,
     worst_offender,
 )
 from citylens.operators._common import exclude_values
@@ -136,7 +137,7 @@ class TaxiStudy:
         pick = self.c("pickup")
         staged = self.clean().withColumn("pickup_year", F.year(pick)).withColumn("pickup_month", F.month(pick))
         written = materialize(staged, path, partition_by=("pickup_year", "pickup_month"), name="clean-trips")
-        return replace(self, clean_table=written.drop("pickup_year", "pickup_month"))
+        return replace(self, clean_table=written)
 
     def rules(self, with_rate_code: bool = False) -> dict[str, Column]:
         return trip_rules(
@@ -237,7 +238,6 @@ class TaxiStudy:
         return s.select(*[_r(c, 6) for c in s.columns])
 
     def tip_mean_vs_median(self):
-        # tips are money amounts: a bounded set of distinct values, so the exact median is affordable
         s = mean_vs_median(self._tips(), self.c("tip"), exact=True)
         return s.select(*[_r(c, 6) for c in s.columns])
 
@@ -268,14 +268,15 @@ class TaxiStudy:
 
     @staticmethod
     def _round_speed(df: DataFrame) -> DataFrame:
-        return df.select(*[_r(c, 6) if c in ("avg_speed", "overall_speed", "diff") else F.col(c) for c in df.columns])
+        return df.select(*[_r(c, 9) if c in ("avg_speed", "overall_speed", "diff") else F.col(c) for c in df.columns])
 
     def speed_by_month(self):
         return self._round_speed(avg_speed(self.clean(), F.month(self.c("pickup")).alias("month"), **self._speed_kw()))
 
     def speed_by_day(self):
         pick = self.c("pickup")
-        holiday = (F.month(pick) == self.holiday_month) & F.dayofmonth(pick).isin(*self.holiday_days)
+        starts = [dt.date(self.year, self.holiday_month, day) for day in self.holiday_days]
+        holiday = in_periods(pick, [(d, d + dt.timedelta(days=1)) for d in starts])
         return self._round_speed(avg_speed(self.clean(), F.dayofmonth(pick).alias("day"), where=holiday, **self._speed_kw()))
 
     def speed_overall(self):
@@ -311,6 +312,8 @@ class ParkingStudy:
     top_k: int = 3
     common_per_group: int = 5
     compare_years: tuple = (2015, 2016, 2017)
+    # the in-year tickets once written (``with_materialized_clean``); None: derived from ``tickets``
+    clean_table: DataFrame | None = None
 
     def c(self, key: str) -> str:
         return self.columns[key]
@@ -329,21 +332,29 @@ class ParkingStudy:
             return self.tickets.filter(F.year(self.issue()) == self.year)
         return clean_period(self.tickets, {col: year_ranges([self.year])})
 
+    def clean(self) -> DataFrame:
+        """The year's own tickets, from which every analysis starts; profiles and year comparisons see the whole file."""
+        return self.in_year() if self.clean_table is None else self.clean_table
+
+    def with_materialized_clean(self, path: str | None = None) -> "ParkingStudy":
+        """Write the in-year tickets once (Parquet, in shared storage by default) and analyse that table."""
+        return replace(self, clean_table=materialize(self.clean(), path, name="clean-tickets"))
+
     # -- examining ----------------------------------------------------------------------
     def ticket_count(self):
-        return distinct_count(self.tickets, self.c("summons"))
+        return distinct_count(self.clean(), self.c("summons"))
 
     def ticket_count_in_year(self):
         return distinct_count(self.in_year(), self.c("summons"))
 
     def state_count(self):
-        return distinct_count(self.tickets, self.c("state"))
+        return distinct_count(self.clean(), self.c("state"))
 
     def state_count_with_null(self):
-        return distinct_count(self.tickets, self.c("state"), include_null=True)
+        return distinct_count(self.clean(), self.c("state"), include_null=True)
 
     def street_count_with_null(self):
-        return distinct_count(self.tickets, self.c("street"), include_null=True)
+        return distinct_count(self.clean(), self.c("street"), include_null=True)
 
     def out_of_year_count(self):
         col = self.c("issue")
@@ -367,46 +378,46 @@ class ParkingStudy:
         return sentinel_profile(self.tickets, spec)
 
     def missing_address_any(self):
-        return missing_address(self.tickets, [self.c("house"), self.c("street")], how="any")
+        return missing_address(self.clean(), [self.c("house"), self.c("street")], how="any")
 
     def missing_address_all(self):
-        return missing_address(self.tickets, [self.c(k) for k in ("house", "street", "cross")], how="all", sentinels=TEXT_SENTINELS)
+        return missing_address(self.clean(), [self.c(k) for k in ("house", "street", "cross")], how="all", sentinels=TEXT_SENTINELS)
 
     # -- aggregation ----------------------------------------------------------------------
     def top_codes(self):
-        return top_n(self.tickets, self.c("code"), self.top_n, exclude=(0, None))
+        return top_n(self.clean(), self.c("code"), self.top_n, exclude=(0, None))
 
     def top_body_types(self):
-        return top_n(self.tickets, self.c("body"), self.top_n, exclude=(None,))
+        return top_n(self.clean(), self.c("body"), self.top_n, exclude=(None,))
 
     def top_makes(self):
-        return top_n(self.tickets, self.c("make"), self.top_n, exclude=(None,))
+        return top_n(self.clean(), self.c("make"), self.top_n, exclude=(None,))
 
     def top_violation_precincts(self):
-        return top_n(self.tickets, self.c("violation_precinct"), self.top_n, exclude=(0, None))
+        return top_n(self.clean(), self.c("violation_precinct"), self.top_n, exclude=(0, None))
 
     def top_issuer_precincts(self):
-        return top_n(self.tickets, self.c("issuer_precinct"), self.top_n, exclude=(0, None))
+        return top_n(self.clean(), self.c("issuer_precinct"), self.top_n, exclude=(0, None))
 
     def house_number_counts(self):
         # n(col) semantics: the NULL group is kept and counts 0 non-null values
-        return count_by(self.tickets, self.c("house"), of=self.c("house"))
+        return count_by(self.clean(), self.c("house"), of=self.c("house"))
 
     def codes_in_top_precincts(self):
-        return freq_within_top_groups(self.tickets, self.c("issuer_precinct"), self.c("code"), self.top_k)
+        return freq_within_top_groups(self.clean(), self.c("issuer_precinct"), self.c("code"), self.top_k)
 
     def codes_in_top_precincts_pooled(self):
-        return freq_within_top_groups(self.tickets, self.c("issuer_precinct"), self.c("code"), self.top_k, pooled=True)
+        return freq_within_top_groups(self.clean(), self.c("issuer_precinct"), self.c("code"), self.top_k, pooled=True)
 
     def common_codes(self):
-        return common_items(self.tickets, self.c("issuer_precinct"), self.c("code"), self.top_k, self.common_per_group)
+        return common_items(self.clean(), self.c("issuer_precinct"), self.c("code"), self.top_k, self.common_per_group)
 
     def stacked_precinct_codes(self):
-        return stacked_counts(self.tickets, self.c("issuer_precinct"), self.c("code"), k=self.top_k)
+        return stacked_counts(self.clean(), self.c("issuer_precinct"), self.c("code"), k=self.top_k)
 
     # -- time of day -----------------------------------------------------------------------
     def _hours(self, lenient: bool = False) -> DataFrame:
-        with_hour = self.tickets.withColumn("hour", parse_clock(self.c("time"), lenient=lenient))
+        with_hour = self.clean().withColumn("hour", parse_clock(self.c("time"), lenient=lenient))
         return drop_missing(with_hour, ["hour"])
 
     def clock_hours(self):
@@ -438,7 +449,7 @@ class ParkingStudy:
 
     # -- seasons ----------------------------------------------------------------------------
     def seasons(self, labels=None) -> DataFrame:
-        return self.tickets.select(self.c("code"), season(F.month(self.issue()), labels=labels).alias("season"))
+        return self.clean().select(self.c("code"), season(F.month(self.issue()), labels=labels).alias("season"))
 
     def season_counts(self):
         return count_by(self.seasons(), "season").orderBy("season")
@@ -452,28 +463,27 @@ class ParkingStudy:
     def date_parts(self):
         col = self.c("issue")
         if isinstance(self.tickets.schema[col].dataType, T.StringType):
-            d = with_date_parts(self.tickets, col, self.date_format, year="issue_year", month="issue_month")
-        else:
-            d = self.tickets.select(F.year(col).alias("issue_year"), F.month(col).alias("issue_month"))
+            return count_date_parts(self.tickets, col, self.date_format, year="issue_year", month="issue_month")
+        d = self.tickets.select(F.year(col).alias("issue_year"), F.month(col).alias("issue_month"))
         return count_by(d, ["issue_year", "issue_month"])
 
     # -- revenue and years ---------------------------------------------------------------
     def revenue(self, fines: DataFrame) -> DataFrame:
-        return fine_revenue(self.tickets, fines, self.c("code"), self.top_k)
+        return fine_revenue(self.clean(), fines, self.c("code"), self.top_k)
 
     def fine_revenue(self, fines: DataFrame):
         r = self.revenue(fines)
         return r.select(self.c("code"), "tickets", _r("avg_fine", 2), _r("total", 2))
 
     def revenue_total(self, fines: DataFrame):
-        return revenue_total(self.revenue(fines)).select(_r("total", 2))
+        return revenue_total(self.revenue(fines)).select(_r("total", 2), "tickets_without_fine")
 
     def top_revenue_code(self, fines: DataFrame):
         return top_revenue_code(self.revenue(fines), self.c("code")).select(self.c("code"), _r("total", 2))
 
     def yearly_comparison(self):
-        metrics = {"tickets": F.count_distinct(self.c("summons")), "states": F.count_distinct(self.c("state"))}
-        return compare_years(self.tickets, F.year(self.issue()), metrics)
+        counts = {"tickets": self.c("summons"), "states": self.c("state")}
+        return compare_years(self.tickets, F.year(self.issue()), {}, distinct=counts)
 
     def yearly_code_comparison(self):
         code = self.c("code")

@@ -1,6 +1,6 @@
 """Sources and sinks: typed CSV ingest, month union, Parquet materialisation, test views."""
 
-from citylens.sources.csv import read_ticket_years, read_tickets, read_trips, write_csv
+from citylens.sources.csv import count_malformed, read_ticket_years, read_tickets, read_trips, write_csv
 from citylens.sources.tables import materialize, union_months, with_year_month
 
-__all__ = ["read_ticket_years", "read_tickets", "read_trips", "write_csv", "materialize", "union_months", "with_year_month"]
+__all__ = ["count_malformed", "read_ticket_years", "read_tickets", "read_trips", "write_csv", "materialize", "union_months", "with_year_month"]

@@ -24,11 +24,14 @@ def read_trips(
     The header line is skipped and blank lines are dropped by the reader,
     so the "skip two header lines" table property needs no special case
     and a data row on line 2 is not lost.  Unparseable fields become NULL
-    (PERMISSIVE mode) instead of failing the job.
+    (PERMISSIVE mode) instead of failing the job; ``count_malformed`` counts
+    their rows.  A file whose header differs from the schema, in names or
+    order, is an error: values never shift into another column.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("sep", ",")
         .option("mode", "PERMISSIVE")
         .option("timestampFormat", timestamp_format)
@@ -54,8 +57,12 @@ def read_tickets(
       and a malformed value becomes NULL instead of failing the job.
     * ``typed=False`` keeps every column as text; ``infer=True`` uses
       Spark's type inference (an extra pass over the file).
+
+    Every file of the path must have the same header (and that of the
+    declared schema): one that differs is an error.  Files of other layouts
+    are read apart and stacked by name (``read_ticket_years``).
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
     if infer:
         return reader.option("inferSchema", True).csv(path)
     if schema is None and columns is not None:
@@ -104,11 +111,25 @@ def read_ticket_years(
     return stacked.select(*(list(keep) + [year_col] if keep is not None else stacked.columns))
 
 
+def count_malformed(spark: SparkSession, path: str | list[str], schema: T.StructType, **options: str) -> DataFrame:
+    """One row ``(rows, malformed)``: how many lines have fields that do not fit the schema (PERMISSIVE makes them NULL)."""
+    corrupt = "_malformed"
+    full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    reader = spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
+    lines = reader.option("columnNameOfCorruptRecord", corrupt).options(**options).csv(path)
+    # all columns are used (any hash is below the bound), so that every field of a line is parsed
+    parsed = F.xxhash64(*[F.col(f"`{f.name}`") for f in schema.fields]) <= F.lit(2**63 - 1)
+    bad = F.count_if(parsed & F.col(corrupt).isNotNull())
+    return lines.agg(F.count(F.lit(1)).alias("rows"), bad.alias("malformed"))
+
+
 def write_csv(df: DataFrame, path: str, timestamp_format: str = TRIP_TIMESTAMP_FORMAT) -> str:
-    """Write ``df`` as header CSV (used to produce fixtures and exports)."""
+    """Write ``df`` as header CSV (used to produce fixtures and exports); blanks in names and values are kept."""
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", timestamp_format)
         .option("timestampNTZFormat", timestamp_format)
         .csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -35,17 +36,31 @@ def materialize(
 
     Cuts the lineage (later queries start from the written files, and a
     lost executor only re-reads them), and ``partition_by`` columns become
-    directories that later period filters prune.  Without ``path`` the
-    table lands in a fresh folder below the session's checkpoint folder
-    (shared storage on a cluster).  ``table`` registers it in the catalog.
+    directories that later period filters prune.  With ``partition_by`` only
+    the partitions present in ``df`` are replaced, so months can be loaded
+    one after the other into one folder, and rows are rebalanced by them:
+    few files per partition, a heavy partition split over several tasks.
+    Without ``path`` the table lands in a fresh folder below the session's
+    checkpoint folder (shared storage on a cluster).  ``table`` registers it
+    in the catalog.  A ``path`` that ``df`` itself reads is an error.
     """
     spark = df.sparkSession
+    if path is not None and any(_below(f, path) for f in df.inputFiles()):
+        raise ValueError(f"the table is read from {path}: write it elsewhere")
     target = path or scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = df.write.mode("overwrite")
     if table:
         writer.option("path", target).saveAsTable(table)
         return spark.table(table)
     writer.parquet(target)
     return spark.read.parquet(target)
+
+
+def _below(file: str, folder: str) -> bool:
+    """Whether a file's URL lies in a folder, whatever the spelling of the local scheme."""
+    plain = lambda p: re.sub(r"^file:/+", "/", p).rstrip("/")
+    return plain(file) == plain(folder) or plain(file).startswith(plain(folder) + "/")

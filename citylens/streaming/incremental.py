@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +18,14 @@ def read_csv_stream(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    max_files_per_trigger: int | None = 1,
+    max_bytes_per_trigger: str | None = None,
     timestamp_format: str = TRIP_TIMESTAMP_FORMAT,
 ) -> DataFrame:
-    """A streaming DataFrame over header CSV files landing in ``path`` (declared schema, no inference)."""
+    """A streaming DataFrame over header CSV files landing in ``path`` (declared schema, no inference).
+
+    A micro-batch takes all files there are unless ``max_bytes_per_trigger``
+    (such as ``"500g"``) bounds its size.
+    """
     reader = (
         spark.readStream.schema(schema)
         .option("header", True)
@@ -28,8 +33,8 @@ def read_csv_stream(
         .option("timestampFormat", timestamp_format)
         .option("timestampNTZFormat", timestamp_format)
     )
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return reader.csv(path)
 
 
@@ -55,21 +60,26 @@ def run_available(
     finish: Callable[[DataFrame], DataFrame] | None = None,
     output: str | None = None,
     checkpoint: str | None = None,
-) -> DataFrame:
+) -> DataFrame | None:
     """Process every file available now (``availableNow`` trigger) and return the final table.
 
-    The aggregation runs in complete mode; each micro-batch overwrites the
-    Parquet table at ``output`` (by default a fresh folder below the
-    session's checkpoint folder), optionally reshaped by ``finish``.  The
-    streaming checkpoint (offsets + state) goes next to it, on the same
-    shared storage, so a lost executor or a restarted driver resumes.
+    The aggregation runs in complete mode; each micro-batch writes the Parquet
+    table, optionally reshaped by ``finish``, to a folder of its own below
+    ``output`` (by default ``table`` in the checkpoint folder), so a batch
+    that dies half-way leaves the version before it whole.  The table is the
+    newest version whose write was committed.  The streaming checkpoint
+    (offsets + state) is on the same shared storage: a second call with a
+    kept ``checkpoint`` resumes, and without new files returns the table as
+    it was.  None is returned if no batch ever ran.
     """
     spark = result.sparkSession
-    out = output or scratch_path(spark, f"{name}-table")
     ckpt = checkpoint or scratch_path(spark, f"{name}-checkpoint")
+    out = output or f"{ckpt.rstrip('/')}/table"
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        (finish(batch) if finish else batch).write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, epoch: int) -> None:
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{out}/version={epoch}")
+        # only after the whole version is written
+        spark.range(epoch, epoch + 1).write.mode("append").parquet(f"{out}/committed")
 
     query = (
         result.writeStream.outputMode("complete")
@@ -81,4 +91,16 @@ def run_available(
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return spark.read.parquet(out)
+    newest = newest_version(spark, out)
+    return None if newest is None else spark.read.parquet(newest)
+
+
+def newest_version(spark: SparkSession, out: str) -> str | None:
+    """The folder of the newest committed version below ``out``."""
+    try:
+        newest = spark.read.schema("id long").parquet(f"{out}/committed").agg(F.max("id")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if newest is None else f"{out}/version={newest}"

@@ -204,10 +204,11 @@ def test_columns_tidy(spark):
 def test_pivot_years(spark):
     from citylens.operators import pivot_years
 
-    df = spark.createDataFrame([(21, 2015), (21, 2015), (38, 2016), (21, 2017)], "code int, y int")
+    df = spark.createDataFrame([(21, 2015), (21, 2015), (38, 2016), (21, 2017), (21, 2014), (7, None)], "code int, y int")
     out = pivot_years(df, "y", [2015, 2016, 2017], "code", F.count(F.lit(1)), fill=0)
-    assert out.columns == ["code", "2015", "2016", "2017"]
-    assert sorted(tuple(r) for r in out.collect()) == [(21, 2, 0, 1), (38, 0, 1, 0)]
+    assert out.columns == ["code", "2015", "2016", "2017", "other", "unknown"]
+    # every row is in one of the columns
+    assert sorted(tuple(r) for r in out.collect()) == [(7, 0, 0, 0, 0, 1), (21, 2, 0, 1, 1, 0), (38, 0, 1, 0, 0, 0)]
 
 
 def test_hot_key_holding_a_third_of_rows(spark):

@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as E
+from citylens.plans import registry
+from citylens.plans.oracle import ORACLE as CITY_ORACLE
 from tests.conftest import SF01
 from tools.oracle_check import compare, duck
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry()
+ORACLE = CITY_ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -2,11 +2,16 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from citylens import session
 
 from citylens.operators import normalize_columns
 from citylens.schemas import TICKET_CORE_COLUMNS, TRIP_SCHEMA
-from citylens.sources import materialize, read_tickets, read_trips, union_months, with_year_month
+from citylens.sources import count_malformed, materialize, read_tickets, read_trips, union_months, with_year_month
 
 TRIP_HEADER = ",".join(f.name for f in TRIP_SCHEMA.fields)
 
@@ -88,3 +93,67 @@ def test_materialize_as_catalog_table(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a"), (2, "b")]
     assert sorted(tuple(r) for r in spark.table("citylens_test_table").collect()) == [(1, "a"), (2, "b")]
     spark.sql("DROP TABLE IF EXISTS citylens_test_table")
+
+
+def test_monthly_loads_keep_each_other(spark, tmp_path):
+    def month(m, v):
+        return spark.createDataFrame([(dt.datetime(2017, m, 3), v)], "ts timestamp, v double").transform(with_year_month, "ts")
+
+    path = str(tmp_path / "trips")
+    for m, v in ((11, 1.0), (12, 2.0), (12, 3.0)):  # December is loaded twice: replaced, not doubled
+        out = materialize(month(m, v), path, partition_by=("year", "month"))
+    assert sorted((r.month, r.v) for r in out.collect()) == [(11, 1.0), (12, 3.0)]
+    with pytest.raises(ValueError):
+        materialize(out, path, partition_by=("year", "month"))
+
+
+def test_partitions_are_written_in_few_files(spark, tmp_path):
+    df = spark.range(0, 1200, numPartitions=16).selectExpr("id", "cast(id % 12 as int) as month")
+    materialize(df, str(tmp_path / "t"), partition_by=("month",))
+    assert len(list((tmp_path / "t").glob("month=*/part-*.parquet"))) <= 24
+
+
+def test_other_headers_raise_instead_of_shifting(spark):
+    folder = tempfile.mkdtemp(prefix="citylens-test-")
+    _write(folder, "a.csv", "Summons Number,Issue Date,Violation Code\n1,06/04/2015,21\n")
+    _write(folder, "b.csv", "Summons Number,Violation Code,Issue Date\n2,38,06/05/2015\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_tickets(spark, folder).collect()
+    one = os.path.join(folder, "b.csv")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_tickets(spark, one, columns=["Summons Number", "Issue Date", "Violation Code"]).collect()
+    assert read_tickets(spark, one).first()["Violation Code"] == 38
+
+
+def test_malformed_lines_are_counted(spark):
+    folder = tempfile.mkdtemp(prefix="citylens-test-")
+    path = _write(folder, "t.csv", "a,b\n1,2\n\nx,3\n4,y\n5\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    assert tuple(count_malformed(spark, path, schema).first()) == (4, 3)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(session, "_is_local", lambda s: False)
+
+    class Context:
+        applicationId = "app"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_scratch_can_be_dropped(spark):
+    path = session.scratch_path(spark, "to-drop")
+    spark.range(3).write.parquet(path)
+    assert session.drop_scratch(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

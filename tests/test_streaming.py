@@ -30,7 +30,7 @@ def test_incremental_audit_over_monthly_files(spark):
     _land(folder, "2017-11.csv", [("1", 0.0, 1, 5.0, 1.0, 6.0), ("2", 1.0, 0, -2.0, 0.0, -2.0)])
     _land(folder, "2017-12.csv", [("1", 2.0, 2, 0.0, -1.0, 0.0), ("1", 0.0, 0, 3.0, 0.0, 3.0)])
     _land(folder, "2018-01.csv", [("2", 3.0, 1, 9.0, 1.0, 10.0)])
-    stream = read_csv_stream(spark, folder, SCHEMA, max_files_per_trigger=1)
+    stream = read_csv_stream(spark, folder, SCHEMA)
     rules = trip_rules()
     out = run_available(
         incremental_rule_counts(stream, rules, by="vendor_id"),
@@ -43,3 +43,24 @@ def test_incremental_audit_over_monthly_files(spark):
     assert got[("1", "total_zero")] == 1 and got[("2", "distance_zero")] == 0
     counts = {r.vendor_id: r["count"] for r in run_available(incremental_count_by(stream, "vendor_id"), "test-counts").collect()}
     assert counts == {"1": 3, "2": 2}
+
+
+def test_a_kept_checkpoint_resumes(spark):
+    folder, kept = tempfile.mkdtemp(prefix="citylens-stream-"), tempfile.mkdtemp(prefix="citylens-ckpt-")
+    _land(folder, "2017-11.csv", [("1", 0.0, 1, 5.0, 1.0, 6.0)])
+
+    def counts():
+        stream = read_csv_stream(spark, folder, SCHEMA)
+        out = run_available(incremental_count_by(stream, "vendor_id"), checkpoint=f"{kept}/c")
+        return {r.vendor_id: r["count"] for r in out.collect()}
+
+    assert counts() == {"1": 1}
+    assert counts() == {"1": 1}  # no new file
+    _land(folder, "2017-12.csv", [("1", 2.0, 2, 0.0, -1.0, 0.0), ("2", 2.0, 2, 0.0, -1.0, 0.0)])
+    assert counts() == {"1": 2, "2": 1}  # the first file is not read again
+    assert counts() == {"1": 2, "2": 1}
+
+
+def test_no_file_at_all(spark):
+    folder = tempfile.mkdtemp(prefix="citylens-stream-")
+    assert run_available(incremental_count_by(read_csv_stream(spark, folder, SCHEMA), "vendor_id")) is None
