@@ -39,7 +39,7 @@ def test_lattice_sums_all_segmentations():
         for path, p in paths:
             for k in path:
                 uses[k] += c * math.exp(p - total)
-    assert lattice.expected(words, counts, logs) == pytest.approx(uses)
+    assert lattice.expected(words, lambda rows, _: counts[rows], logs) == pytest.approx(uses)
 
 
 def test_long_word_and_vocabulary():
@@ -93,14 +93,18 @@ def test_score_is_the_sum_over_words(spark):
     counts = L.word_counts(df, "text", F.lit(True))
     table = {bytes(r.word): r.c for r in counts.collect()}
     pieces = L.vocabulary()
-    log_probs, log_end = L.fit_pieces(counts, pieces, 2)
-    assert np.exp(log_probs).sum() + math.exp(log_end) == pytest.approx(1.0)
+    model = L.fit_model(counts, pieces, 2)
     assert table[b""] == 40
+    # the pieces share all of their mass, and so do the end and the two ways to make a word
+    assert np.exp(model.log_probs).sum() == pytest.approx(1.0)
+    n_words = sum(table.values()) - 40
+    assert math.exp(model.log_end) + n_words * math.exp(model.log_whole) + math.exp(model.log_parts) == pytest.approx(1.0)
     lattice = L.Lattice(pieces)
     got = {r.doc_id: r.score for r in L.score_texts(df, F.lit(True), rounds=2).collect()}
     for d, text in rows:
         words = text.encode().split()
-        assert got[d] == pytest.approx((lattice.log_marginals(words, log_probs).sum() + log_end) / math.log(10))
+        logs = model.word_logs(np.array([table[w] for w in words]), lattice.log_marginals(words, model.log_probs))
+        assert got[d] == pytest.approx((logs.sum() + model.log_end) / math.log(10))
 
 
 def test_odd_rows(spark):
@@ -122,3 +126,12 @@ def test_prose_scores_above_shuffled_letters(spark):
     got = L.score_texts(frame(spark, rows + noise), F.col("doc_id") < 10_000, rounds=2)
     score = {r.doc_id: r.score for r in got.collect()}
     assert all(score[d] > score[10_000 + d] for d, text in rows[:40] if len(text) > 200)
+
+
+def test_segmented_share_leaves_each_token_out(spark):
+    # half of the tokens are one word, the others are met once each: only those need their letters
+    words = ["same"] * 200 + [f"once{i}" for i in range(200)]
+    df = frame(spark, [(1, " ".join(words))])
+    model = L.fit_model(L.word_counts(df, "text", F.lit(True)), L.vocabulary(), 3)
+    share = math.exp(model.log_parts) / (1 - math.exp(model.log_end))
+    assert share == pytest.approx(0.5, abs=0.02)
