@@ -111,7 +111,7 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    import __spark_entry__ as E
+    from citylens.plans import registry
 
     print("# PLANS — physical plans with auto-broadcast off\n")
     print("Generated by `python tools/plan_report.py`. Auto-broadcast is disabled, as for 100 TB inputs where no")
@@ -122,7 +122,7 @@ def main(argv):
     print("is a partial (map-side) plus a final node around its shuffle, so a hot key never crosses the network row by row.\n")
     print("| query | hash shuffles | range shuffles | single-partition | reused | SMJ | broadcasts (side) | top-k | window limit | aggregates | scans (pushed filters) |")
     print("|---|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in registry().items():
         if name.startswith(("csv_", "stream_", "materialize")):
             continue
         s = summarize(plan_of(fn(spark, sf_dir)))
@@ -140,7 +140,7 @@ def main(argv):
     for name in ("top_codes_per_bin", "codes_in_top_precincts"):
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
-            E.queries()[name](spark, sf_dir).explain("formatted")
+            registry()[name](spark, sf_dir).explain("formatted")
         print(f"\n## `{name}`: `explain(\"formatted\")` before execution\n")
         print("```")
         print(buf.getvalue().rstrip())
