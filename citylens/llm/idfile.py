@@ -10,11 +10,12 @@ Spark can:
             are enough.
 ``blocks``  (bucket, number, before, n_ids, doc_ids, doc_lengths, payload,
             checkpoints): whole documents, at least ``BLOCK_IDS`` ids where
-            there are so many.  ``payload`` is the bit stream,
-            ``checkpoints`` holds the bits of each run of ``CHECK_IDS`` ids
-            (little-endian 32-bit), so a reader can start at any run and a
-            block is decoded with all its runs in step by one table lookup
-            per id.  ``before`` counts the ids of the bucket before it.
+            there are so many.  ``payload`` is the bit stream, in which every
+            document starts at a byte; ``checkpoints`` holds the bits of each
+            run of ``CHECK_IDS`` ids of a document (little-endian 32-bit), so
+            a reader can start at any run and a block is decoded with all its
+            runs in step by one table lookup per id.  ``before`` counts the
+            ids of the bucket before it.
 ``buckets`` (bucket, first): the ids before each bucket; buckets are ranges
             of document ids.
 """
@@ -22,6 +23,7 @@ Spark can:
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citylens.llm._tables import WordTable, bytes_of, documents, slices, stored, text_of
+from citylens.llm._tables import WordTable, bytes_of, documents, ragged, slices, stored, text_of
 from citylens.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -95,38 +97,53 @@ class Code:
         self.table_symbol[:filled] = np.repeat(self.symbols, spans)
         self.table_length[:filled] = np.repeat(sorted_lengths, spans)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """``(payload, checkpoints)`` of a block."""
+    def encode(self, ids: np.ndarray, doc_lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Payload and checkpoints of each of some documents (every one of at least one id); ``ids`` are all theirs."""
         lengths = self.length[ids]
-        ends = np.cumsum(lengths)
-        if not len(ids):
-            return b"", b""
-        starts = ends - lengths
+        ends = np.cumsum(doc_lengths)
+        begins, bits = ends - doc_lengths, np.add.reduceat(lengths, ends - doc_lengths)
+        size = (bits + 7) >> 3
+        at = np.cumsum(size) - size  # bytes before each document
+        before = np.cumsum(lengths) - lengths
+        starts = before + np.repeat(at * 8 - before[begins], doc_lengths)
         word, shift = starts >> 5, (64 - lengths - (starts & 31)).astype(np.uint64)
         windows = self.code[ids] << shift  # 64 bits from the start of the 32-bit word
         heads = np.flatnonzero(np.diff(word, prepend=-1))
-        stream = np.zeros((int(ends[-1]) + 31 >> 5) + 1, dtype=np.uint64)
+        stream = np.zeros((int(size.sum()) >> 2) + 2, dtype=np.uint64)
         stream[word[heads]] += np.add.reduceat(windows >> np.uint64(32), heads)
         stream[word[heads] + 1] += np.add.reduceat(windows & np.uint64(0xFFFFFFFF), heads)
-        payload = stream.astype(">u4").tobytes()[: (int(ends[-1]) + 7) >> 3]
-        runs = np.add.reduceat(lengths, np.arange(0, len(ids), CHECK_IDS))
-        return payload, runs.astype("<u4").tobytes()
-
-    def decode(self, payload: bytes, checkpoints: bytes, n_ids: int) -> np.ndarray:
+        whole = stream.astype(">u4").tobytes()
+        n_runs = -(-doc_lengths // CHECK_IDS)
+        marks = ragged(np.zeros(len(n_runs), dtype=np.int64), n_runs) * CHECK_IDS + np.repeat(begins, n_runs)
+        runs = np.add.reduceat(lengths, marks).astype("<u4").tobytes()
+        last = np.cumsum(n_runs)
+        payloads = [whole[a:e] for a, e in zip(at.tolist(), (at + size).tolist())]
+        return payloads, [runs[4 * a : 4 * e] for a, e in zip((last - n_runs).tolist(), last.tolist())]
+
+    def decode(self, payload: bytes, checkpoints: bytes, doc_lengths: np.ndarray) -> np.ndarray:
         """The ids of a block: all runs advance together, one table lookup per id."""
         runs = np.frombuffer(checkpoints, dtype="<u4").astype(np.int64)
-        position = np.cumsum(runs) - runs
+        n_runs = -(-doc_lengths // CHECK_IDS)
+        nth = ragged(np.zeros(len(n_runs), dtype=np.int64), n_runs)
+        owner = np.repeat(np.arange(len(n_runs)), n_runs)
+        firsts = np.cumsum(n_runs) - n_runs
+        size = (np.add.reduceat(runs, firsts) + 7) >> 3
+        before = np.cumsum(runs) - runs
+        position = before + ((np.cumsum(size) - size) * 8 - before[firsts])[owner]
+        place = (np.cumsum(doc_lengths) - doc_lengths)[owner] + nth * CHECK_IDS
+        left = np.minimum(CHECK_IDS, doc_lengths[owner] - nth * CHECK_IDS)
+        order = np.argsort(-left, kind="stable")  # longer runs first, so those still going are a prefix
+        position, place, left = position[order], place[order], left[order]
         stream = np.frombuffer(payload + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
         windows = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
-        out = np.zeros((len(runs), CHECK_IDS), dtype=np.int64)
-        drop, last = np.uint32(32 - self.bits), n_ids - (len(runs) - 1) * CHECK_IDS
-        for k in range(CHECK_IDS if len(runs) > 1 else last):
-            if k == last:
-                position = position[:-1]
+        out, drop = np.zeros(int(doc_lengths.sum()), dtype=np.int64), np.uint32(32 - self.bits)
+        for k in range(int(left[0])):
+            going = int(np.searchsorted(-left, -k, "left"))
+            position = position[:going]
             looked = (windows[position >> 3] << (position & 7).astype(np.uint32)) >> drop
-            out[: len(position), k] = self.table_symbol[looked]
+            out[place[:going] + k] = self.table_symbol[looked]
             position = position + self.table_length[looked]
-        return out.ravel()[:n_ids]
+        return out
 
 
 # -- tokenizing -----------------------------------------------------------------------
@@ -136,12 +153,14 @@ class LibraryWords:
     """Ids of white-space words by the tokenizers library.
 
     White space always separates the library's pre-tokens, so a text's ids are
-    those of its words.  Words that are one run of letters, or one and a
-    closing mark, go to the library many at a time: their pre-tokens are told
-    apart by the word-end marks.  All others go one by one.
+    those of its words.  Words that are one run of letters, one of marks, or
+    both in this order go to the library many at a time: their pre-tokens are
+    told apart by the word-end marks.  All others go one by one.
     """
 
     CHUNK = 1000
+    #: Without the apostrophe, which may open a pre-token of its own.
+    MARKS = "".join(c for c in string.punctuation if c != "'")
 
     def __init__(self, data: str) -> None:
         from tokenizers import Tokenizer
@@ -157,7 +176,8 @@ class LibraryWords:
 
     def values_of(self, raw: list[bytes]) -> list[list[int]]:
         words = [w.decode("utf-8", "replace") for w in raw]
-        parts = [1 if w.isalpha() else 2 if w[-1] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words]
+        bare = [w.rstrip(self.MARKS) for w in words]
+        parts = [(bool(b) + (len(b) < len(w))) if not b or b.isalpha() else 0 for w, b in zip(words, bare)]
         out: list = [None] * len(words)
         simple = [i for i, p in enumerate(parts) if p]
         for start in range(0, len(simple), self.CHUNK):
@@ -188,7 +208,7 @@ def _word_table(data: str) -> WordTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
     if hash(data) not in _WORDS:
         _WORDS.clear()
-        _WORDS[hash(data)] = WordTable(LibraryWords(data).values_of)
+        _WORDS[hash(data)] = WordTable(LibraryWords(data).values_of, 200_000)
     return _WORDS[hash(data)]
 
 
@@ -213,12 +233,21 @@ def _bucket(ids: pa.Array, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.where(np.asarray(ids.is_null()), 0, np.where(high - low >= 2, inner, high))
 
 
+def _packed_type(tokenizer_file: str, end_id: int) -> str:
+    """16 bits per id if they hold the vocabulary, else 32."""
+    from tokenizers import Tokenizer
+
+    largest = max([end_id, *Tokenizer.from_file(tokenizer_file).get_vocab().values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def encode_documents(
     df: DataFrame, id_col: str, text_col: str, tokenizer_file: str, end_id: int, per_bucket: int = BUCKET_DOCUMENTS
 ) -> DataFrame:
-    """``(bucket, doc_id, text_hash, n_ids, ids)`` with the ids packed as little-endian 16- or 32-bit integers."""
+    """``(bucket, doc_id, text_hash, ids)`` with the ids packed as little-endian integers (see ``_packed_type``)."""
     with open(tokenizer_file, encoding="utf-8") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())  # under 2 MB
+    packed_type = _packed_type(tokenizer_file, end_id)
     cuts = _range_cuts(df, id_col, per_bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +257,7 @@ def encode_documents(
             # one end after each document
             counts = np.bincount(owner, minlength=batch.num_rows) + 1
             ends = np.cumsum(counts)
-            ids = np.full(ends[-1], end_id, dtype="<i4")
+            ids = np.full(ends[-1], end_id, dtype=packed_type)
             inside = np.ones(len(ids), dtype=bool)
             inside[ends - 1] = False
             ids[inside] = flat
@@ -236,8 +265,8 @@ def encode_documents(
             hashes = batch.column("text_hash").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_bucket(batch.column("doc_id"), hashes, cuts)), batch.column("doc_id"),
-                 batch.column("text_hash"), pa.array(counts), pa.array(packed, pa.binary())],
-                names=["bucket", "doc_id", "text_hash", "n_ids", "ids"],
+                 batch.column("text_hash"), pa.array(packed, pa.binary())],
+                names=["bucket", "doc_id", "text_hash", "ids"],
             )
 
     narrow = df.select(
@@ -245,17 +274,17 @@ def encode_documents(
         F.xxhash64(text_of(text_col)).alias("text_hash"),
         bytes_of(text_col).alias("text"),
     )
-    return narrow.mapInArrow(run, "bucket long, doc_id long, text_hash long, n_ids long, ids binary")
+    return narrow.mapInArrow(run, "bucket long, doc_id long, text_hash long, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> np.ndarray:
+def id_counts(encoded: DataFrame, packed_type: str) -> np.ndarray:
     """Count of every id over all documents (one number per id of the vocabulary)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
             for packed in batch.column("ids"):
-                found = np.bincount(np.frombuffer(packed.as_buffer(), dtype="<i4"), minlength=len(total))
+                found = np.bincount(np.frombuffer(packed.as_buffer(), dtype=packed_type), minlength=len(total))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
                 total += found
@@ -298,50 +327,61 @@ def write_ids(
     NULL and empty texts are the end id alone; documents of one id are
     ordered by the hash of their text.  An empty table writes empty files.
     """
-    encoded = stored(encode_documents(df, id_col, text_col, tokenizer_file, end_id, per_bucket), "token-ids")
+    encoded = encode_documents(df, id_col, text_col, tokenizer_file, end_id, per_bucket)
+    encoded, packed_type = stored(encoded, "token-ids", "zstd"), _packed_type(tokenizer_file, end_id)
     spark = df.sparkSession
-    counts = id_counts(encoded)
-    lengths = code_lengths(counts, max_bits)
+    lengths = code_lengths(id_counts(encoded, packed_type), max_bits)
     ids = np.flatnonzero(lengths)
     shared = spark.sparkContext.broadcast((ids, lengths[ids]))
     rows = [(int(i), int(n)) for i, n in zip(ids, lengths[ids])]
     spark.createDataFrame(rows, "id int, length int").coalesce(1).write.parquet(f"{path}/code")
 
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents are coded before they are dealt: what is shuffled is as small as the file."""
+        code = Code(*shared.value)
+        for batch in slices(batches, 512):
+            parts = [np.frombuffer(p, dtype=packed_type) for p in batch.column("ids").to_pylist()]
+            sizes = np.array(list(map(len, parts)), dtype=np.int64)
+            payloads, checkpoints = code.encode(np.concatenate(parts), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bucket"), batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes),
+                 pa.array(payloads, pa.binary()), pa.array(checkpoints, pa.binary())],
+                names=["bucket", "doc_id", "text_hash", "n", "payload", "checkpoints"],
+            )
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, bucket, number, before = Code(*shared.value), None, 0, 0
-        doc_ids: list = []
-        parts: list[np.ndarray] = []
-        waiting = 0
+        bucket, number, before, waiting = None, 0, 0, 0
+        rows: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            nonlocal number, before, doc_ids, parts, waiting
-            flat = np.concatenate(parts)
-            payload, checkpoints = code.encode(flat)
+            nonlocal number, before, waiting, rows
+            doc_ids, sizes, payloads, checkpoints = zip(*rows)
             row = {
-                "bucket": bucket, "number": number, "before": before, "n_ids": len(flat), "doc_ids": doc_ids,
-                "doc_lengths": list(map(len, parts)), "payload": payload, "checkpoints": checkpoints,
+                "bucket": bucket, "number": number, "before": before, "n_ids": waiting, "doc_ids": doc_ids,
+                "doc_lengths": sizes, "payload": b"".join(payloads), "checkpoints": b"".join(checkpoints),
             }
-            number, before, doc_ids, parts, waiting = number + 1, before + len(flat), [], [], 0
+            number, before, waiting, rows = number + 1, before + waiting, 0, []
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
-            buckets, names = batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist()
-            for i in range(batch.num_rows):
-                if buckets[i] != bucket or waiting >= block_ids:
-                    if parts:
+            for found, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if found != bucket or waiting >= block_ids:
+                    if rows:
                         yield block()
-                    if buckets[i] != bucket:
-                        bucket, number, before = buckets[i], 0, 0
-                parts.append(np.frombuffer(batch.column("ids")[i].as_py(), dtype="<i4"))
-                doc_ids.append(names[i])
-                waiting += len(parts[-1])
-        if parts:
+                    if found != bucket:
+                        bucket, number, before = found, 0, 0
+                rows.append(tuple(row))
+                waiting += row[1]
+        if rows:
             yield block()
 
     ordered = (
-        encoded.repartition("bucket")
+        encoded.mapInArrow(
+            compress, "bucket long, doc_id long, text_hash long, n long, payload binary, checkpoints binary"
+        )
+        .repartition("bucket")
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text_hash")
-        .select("bucket", "doc_id", "ids")
+        .drop("text_hash")
     )
     ordered.mapInArrow(assemble, _BLOCK).write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -361,8 +401,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         code = Code(*shared.value)
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            flat = code.decode(row["payload"], row["checkpoints"], row["n_ids"]).astype("<u4")
             lengths = np.array(row["doc_lengths"], dtype=np.int64)
+            flat = code.decode(row["payload"], row["checkpoints"], lengths).astype("<u4")
             ends = np.cumsum(lengths)
             packed = [flat[a:b].tobytes() for a, b in zip(ends - lengths, ends)]
             yield pa.RecordBatch.from_arrays(

@@ -59,28 +59,28 @@ def test_limit_is_raised_where_it_cannot_hold_the_symbols():
     assert I.code_lengths(np.ones(1000, dtype=np.int64), 4).max() == 10
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 5000])
-def test_block_round_trip(n):
-    draw = np.random.default_rng(n)
-    ids = np.minimum(draw.geometric(0.02, n), 900)
+@pytest.mark.parametrize("sizes", [[1], [2, 1, 1], [127, 128, 129], [5000], [300] * 40, [1] * 50])
+def test_block_round_trip(sizes):
+    sizes, draw = np.array(sizes), np.random.default_rng(len(sizes))
+    ids = np.minimum(draw.geometric(0.02, sizes.sum()), 900)
     counts = np.bincount(np.append(ids, np.arange(901)), minlength=901)
     lengths = I.code_lengths(counts, 18)
     code = I.Code(np.flatnonzero(lengths), lengths[lengths > 0])
-    payload, checkpoints = code.encode(ids)
-    assert len(payload) == (int(lengths[ids].sum()) + 7) // 8
-    if n:
-        assert np.array_equal(code.decode(payload, checkpoints, n), ids)
-        # bit by bit from the first bit, with nothing but the canonical codes
-        bits = "".join(f"{b:08b}" for b in payload)
-        table = {f"{int(code.code[s]):0{int(code.length[s])}b}": s for s in code.symbols.tolist()}
-        out, at = [], 0
-        while len(out) < min(n, 300):
+    payloads, checkpoints = code.encode(ids, sizes)
+    ends = np.cumsum(sizes)
+    assert [len(p) for p in payloads] == [(int(lengths[ids[a:e]].sum()) + 7) // 8 for a, e in zip(ends - sizes, ends)]
+    assert np.array_equal(code.decode(b"".join(payloads), b"".join(checkpoints), sizes), ids)
+    # bit by bit, with nothing but the canonical codes
+    table = {f"{int(code.code[s]):0{int(code.length[s])}b}": s for s in code.symbols.tolist()}
+    for payload, a, e in zip(payloads, ends - sizes, ends):
+        bits, out, at = "".join(f"{b:08b}" for b in payload), [], 0
+        while len(out) < min(e - a, 200):
             end = at + 1
             while bits[at:end] not in table:
                 end += 1
             out.append(table[bits[at:end]])
             at = end
-        assert out == ids[: len(out)].tolist()
+        assert out == ids[a : a + len(out)].tolist()
 
 
 def library_ids(text):
