@@ -25,18 +25,18 @@ from citylens.llm._tables import documents, stored
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 4096
 QUERY_STRIP = 128
-#: A component of larger magnitude than this after scaling takes the vector out (its products leave 64 bits).
-MAX_WEIGHT = float(2**26)
+#: Scores and components from this magnitude on do not fit a long.
+TOO_LARGE = float(2**63)
 
 
 def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(vec_id, weights)``: ``floor(scale * x)`` per component as packed little-endian 32-bit integers.
+    """``(vec_id, weights)``: ``floor(scale * x)`` per component as packed little-endian 64-bit integers.
 
-    Vectors that are NULL, hold a NULL or non-finite component, or one whose
-    scaled magnitude exceeds ``MAX_WEIGHT`` take no part; nor do rows without an id.
+    Vectors that are NULL, hold a NULL or non-finite component, or one that does not fit a long when scaled
+    take no part; nor do rows without an id.
     """
     vector = F.col(f"`{vector_col}`").cast("array<double>")
-    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) <= MAX_WEIGHT))
+    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < TOO_LARGE))
     kept = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & usable
     )
@@ -45,7 +45,8 @@ def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
         for batch in batches:
             column = batch.column("v")
             offsets = np.asarray(column.offsets)
-            flat = np.floor(np.asarray(column.values, dtype=np.float64) * scale).astype("<i4")
+            scaled = np.floor(np.asarray(column.values, dtype=np.float64)[offsets[0] : offsets[-1]] * scale)
+            flat, offsets = scaled.astype("<i8"), offsets - offsets[0]
             packed = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array(packed, pa.binary())], names=["vec_id", "weights"]
@@ -56,7 +57,7 @@ def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
 
 def _matrix(packed: pd.Series) -> np.ndarray:
     """Rows padded with zeros to the longest vector (a missing component adds nothing to a product)."""
-    rows = [np.frombuffer(b, dtype="<i4") for b in packed]
+    rows = [np.frombuffer(b, dtype="<i8") for b in packed]
     out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), dtype=np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
@@ -82,11 +83,26 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))][:k]
 
 
+def _fits(queries: np.ndarray, candidates: np.ndarray) -> None:
+    """An error if a score may not fit a long; sums of magnitudes are worked out only where the bound by the largest is not enough."""
+    width = min(queries.shape[1], candidates.shape[1])
+    if not width or not len(queries) or not len(candidates):
+        return
+    a, b = (np.abs(m[:, :width].astype(np.float64)) for m in (queries, candidates))
+    if (a.max(axis=0) * b.max(axis=0)).sum() < TOO_LARGE:
+        return
+    for start in range(0, len(a), QUERY_STRIP):
+        if (a[start : start + QUERY_STRIP] @ b.T).max() >= TOO_LARGE:
+            raise OverflowError("a score, or a sum of its products, does not fit a 64-bit integer")
+
+
 def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    ids = candidates["vec_id"].to_numpy()
-    posting_lists = _postings(_matrix(candidates["weights"]))
-    query_ids, weights = queries["vec_id"].to_numpy(), _matrix(queries["weights"])
-    found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    ids, numbers = candidates["vec_id"].to_numpy(), candidates["n"].to_numpy()
+    vectors = _matrix(candidates["weights"])
+    posting_lists = _postings(vectors)
+    query_ids, query_numbers, weights = queries["vec_id"].to_numpy(), queries["n"].to_numpy(), _matrix(queries["weights"])
+    _fits(weights, vectors)
+    found: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
     for start in range(0, len(queries), QUERY_STRIP):
         strip = weights[start : start + QUERY_STRIP]
         scores = np.zeros((len(strip), len(ids)), dtype=np.int64)
@@ -101,8 +117,10 @@ def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
                 else:
                     scores[row, members] += strip[row, term] * postings
         for row, query in enumerate(query_ids[start : start + QUERY_STRIP]):
-            others = np.flatnonzero(ids != query)
+            number = query_numbers[start + row]
+            others = np.flatnonzero(numbers != number)
             best = others[_best(scores[row, others], ids[others], k)]
+            found["query"] += [number] * len(best)
             found["query_id"] += [query] * len(best)
             found["vec_id"] += ids[best].tolist()
             found["score"] += scores[row, best].tolist()
@@ -122,10 +140,10 @@ def exact_top_k(
     """Per query row the ``k`` candidates of highest integer inner product.
 
     Returns ``(query_id, rank, vec_id, score)``; every row but the query's
-    own id is a candidate, ties go to the smaller id.  Vectors of different
+    own is a candidate, ties go to the smaller id.  Vectors of different
     lengths are compared over their common components.  ``is_query`` is a
     predicate on ``vec_id``.  An id that occurs on several rows is one
-    candidate per row.  No vectors or no queries: an empty result.
+    candidate, and one query with a list of its own, per row.  A score that does not fit a long is an error.  No vectors or no queries: an empty result.
     """
     packed = stored(quantise(df, id_col, vector_col, scale), "vectors")
     total = packed.agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries")).first()
@@ -137,12 +155,12 @@ def exact_top_k(
     queries = packed.filter(is_query).select(
         (deal % max(rows, 1)).alias("row"),
         F.explode(F.sequence(F.lit(0), F.lit(max(columns, 1) - 1))).alias("col"),
-        "vec_id", "weights",
+        "n", "vec_id", "weights",
     )
     candidates = packed.select(
         (deal % max(columns, 1)).alias("col"),
         F.explode(F.sequence(F.lit(0), F.lit(max(rows, 1) - 1))).alias("row"),
-        "vec_id", "weights",
+        "n", "vec_id", "weights",
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -151,9 +169,9 @@ def exact_top_k(
     winners = (
         queries.groupBy("row", "col")
         .cogroup(candidates.groupBy("row", "col"))
-        .applyInPandas(search, "query_id long, vec_id long, score long")
+        .applyInPandas(search, "query long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = winners.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -52,3 +52,13 @@ def test_fewer_than_k_and_empty(spark):
     assert run(spark, [(0, [1.0], "x", 0), (1, [2.0], "x", 0)]) == [(0, 1, 1, 256 * 512)]
     assert run(spark, [(1, [2.0], "x", 0)]) == []
     assert run(spark, []) == []
+
+
+def test_large_components_and_repeated_ids(spark):
+    rows = [(0, [2.0, 1.0]), (1, [4e9, 1.0]), (2, [-4e6, 0.5]), (3, [1.0, 1.0])]
+    assert run(spark, [(*r, "x", 0) for r in rows]) == plain(rows)
+    twice = [(0, [1.0]), (0, [2.0]), (1, [1.0]), (2, [3.0])]
+    got = run(spark, [(*r, "x", 0) for r in twice], k=2)
+    assert sorted(s for _, _, _, s in got) == sorted(x * 65536 for x in (2, 3, 2, 6))
+    with pytest.raises(Exception, match="does not fit"):
+        run(spark, [(0, [1e12], "x", 0), (1, [1e12], "x", 0)])
