@@ -86,11 +86,13 @@ def csv_tickets_text(spark, sf):
     return back.select("summons_number", "registration_state", "issue_date", "violation_code", "street_name")
 
 
+#: Files that a month's trips are dealt over.
+FILES_PER_MONTH = 16
 TRIP_LINE = ["vendor_id", "pickup_ts", "dropoff_ts", "passenger_count", "fare_amount", "tip_amount"]
 
 
 def _trip_lines(spark, sf, odd: str | None = None):
-    """Monthly trip files as they come: a header, a blank second line, then the trips (one month per folder).
+    """Monthly trip files as they come: a header, a blank second line, then the trips (one folder per month and file).
 
     ``odd`` is written for 6 passengers.
     """
@@ -100,28 +102,29 @@ def _trip_lines(spark, sf, odd: str | None = None):
         text = F.when(F.col("passenger_count") == 6, F.lit(odd)).otherwise(F.col("passenger_count").cast("string"))
         trips = trips.withColumn("passenger_count", text)
     month = F.date_format("pickup_ts", "yyyy-MM")
-    lines = trips.select(month.alias("month"), F.lit(2).alias("kind"), F.concat_ws(",", *[
+    part = F.pmod(F.xxhash64(*TRIP_LINE), F.lit(FILES_PER_MONTH)).cast("int")
+    lines = trips.select(month.alias("month"), part.alias("part"), F.lit(2).alias("kind"), F.concat_ws(",", *[
         F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRIP_LINE]).alias("line"))
     starts = F.array(F.struct(F.lit(0).alias("kind"), F.lit(",".join(TRIP_LINE)).alias("line")),
                      F.struct(F.lit(1).alias("kind"), F.lit("").alias("line")))
-    heads = trips.select(month.alias("month")).distinct().select("month", F.inline(starts))
+    heads = lines.select("month", "part").distinct().select("month", "part", F.inline(starts))
     path = scratch_path(spark, "trip-lines")
-    # a month is one file here: the header stands once, at its top
-    ordered = heads.unionByName(lines).repartition("month").sortWithinPartitions("month", "kind")
-    ordered.select("month", "line").write.partitionBy("month").text(path)
+    # a month and part is one file: the header stands once, at its top
+    ordered = heads.unionByName(lines).repartition("month", "part").sortWithinPartitions("month", "part", "kind")
+    ordered.select("month", "part", "line").write.partitionBy("month", "part").text(path)
     return path, schema
 
 
 def csv_trips_blank_line(spark, sf):
     """Trip files whose second line is blank: no trip is lost, none is made up."""
     path, schema = _trip_lines(spark, sf)
-    return read_trips(spark, f"{path}/*/", schema=schema).select(*TRIP_LINE)
+    return read_trips(spark, f"{path}/*/*/", schema=schema).select(*TRIP_LINE)
 
 
 def csv_malformed(spark, sf):
     """Trip lines with a text where a number belongs, counted instead of lost without a trace."""
     path, schema = _trip_lines(spark, sf, odd="six")
-    return count_malformed(spark, f"{path}/*/", schema)
+    return count_malformed(spark, f"{path}/*/*/", schema)
 
 
 def filter_text(spark, sf):

@@ -157,3 +157,15 @@ def test_scratch_can_be_dropped(spark):
     assert session.drop_scratch(spark) >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_a_month_of_trips_is_dealt_over_files_with_a_header_each(spark):
+    from citylens.plans import ingest
+    from tests.conftest import SF01
+
+    path, _ = ingest._trip_lines(spark, SF01)
+    files = spark.read.text(f"{path}/*/*/", wholetext=True).collect()
+    months = {r.month for r in spark.read.text(path).select("month").distinct().collect()}
+    assert len(files) > len(months)
+    assert all(f.value.startswith(",".join(ingest.TRIP_LINE) + "\n\n") for f in files)
+    assert all(f.value.count(ingest.TRIP_LINE[0]) == 1 for f in files)
