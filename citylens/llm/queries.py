@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citylens.llm import bpe, idfile, imatch, lm, mixture, passages, quality, secrets, simhash, spelling, topk
+from citylens.llm import bpe, divergence, idfile, imatch, lm, mixture, passages, quality, secrets, simhash, spelling, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_imatch": imatch.op9_imatch,
     "op10_exact_top_k": topk.op10_exact_top_k,
     "op11_spelling": spelling.op11_spelling,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 ORACLE = {
     "op5_secrets": secrets.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
     "op11_spelling": spelling.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
