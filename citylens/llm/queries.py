@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citylens.llm import bpe, divergence, idfile, imatch, lm, mixture, passages, quality, secrets, simhash, spelling, topk
+from citylens.llm import bpe, divergence, idfile, imatch, lm, mixture, passages, permindex, quality, secrets, simhash, spelling, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_top_k": topk.op10_exact_top_k,
     "op11_spelling": spelling.op11_spelling,
     "op12_divergence": divergence.op12_divergence,
+    "op13_permutation_index": permindex.op13_permutation_index,
 }
 
 ORACLE = {
