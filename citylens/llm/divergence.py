@@ -154,7 +154,8 @@ def divergence(
     blocks = F.greatest(F.ceil(F.col("v") / block), F.lit(1)).cast("int")
     numbered = terms.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
     at = F.row_number().over(Window.partitionBy("lang", "block").orderBy(F.desc("total"), "term")) - 1
-    numbered = numbered.withColumn("at", at).select("lang", "term", "total", "v", "lang_n", "block", "at")
+    # dealt by block: the join would leave the terms of a language in one task
+    numbered = numbered.repartition("lang", "block").withColumn("at", at).select("lang", "term", "total", "v", "lang_n", "block", "at")
     kept = stored(counts.select("lang", "source", "term", "n").join(numbered, ["lang", "term"]), "divergence-kept")
 
     # per group: N and the share of a term it lacks
