@@ -47,6 +47,7 @@ from citylens.operators.stats import (
     correlation,
     distinct_count,
     exact_percentiles,
+    exact_percentiles_by,
     fraction_where,
     mean_vs_median,
     summary_percentiles,

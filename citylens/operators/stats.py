@@ -50,18 +50,19 @@ def summary_percentiles(
 
     Default: ``percentile_approx`` (a mergeable sketch with bounded memory,
     returns an actual element).  ``exact=True`` interpolates linearly like
-    ``percentile``; without ``by`` it is worked out by ``exact_percentiles``,
-    with ``by`` every distinct value of a group is held by one task.
+    ``percentile``; it is worked out by ``exact_percentiles``, with ``by``
+    by ``exact_percentiles_by``, so no task holds all values of a group.
     """
     c = F.col(col)
     ps = list(ps)
     keys = as_list(by)
-    if exact and not keys:
+    if exact and keys:
+        return exact_percentiles_by(df, col, ps, keys)
+    if exact:
         found = exact_percentiles(df, col, ps)
         one = df.agg(F.avg(c).alias("avg"))
         return one.select("avg", *[found.select(_pname(p)).scalar().alias(_pname(p)) for p in ps])
-    q = F.percentile(c, ps) if exact else F.percentile_approx(c, ps, accuracy)
-    agg = df.groupBy(*keys).agg(F.avg(c).alias("avg"), q.alias("__q"))
+    agg = df.groupBy(*keys).agg(F.avg(c).alias("avg"), F.percentile_approx(c, ps, accuracy).alias("__q"))
     return agg.select(*keys, "avg", *[F.col("__q")[i].alias(_pname(p)) for i, p in enumerate(ps)])
 
 
@@ -100,6 +101,71 @@ def exact_percentiles(df: DataFrame, col: str, ps: Sequence[float]) -> DataFrame
     return picked.select(*[mixed(i).alias(_pname(p)) for i, p in enumerate(ps)])
 
 
+def value_ranges(df: DataFrame, col: str, by) -> DataFrame:
+    """``(by..., v, n, part)``: rows per group and distinct value, dealt by range of (group, value) and written once.
+
+    A group with many values spans several ranges, so it is the work of several tasks; NULL values are left out.
+    """
+    keys = as_list(by)
+    values = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("v"))
+    counts = values.agg(F.count(F.lit(1)).alias("n"))
+    names = [c for c in counts.columns if c not in ("v", "n")]
+    ranged = counts.repartitionByRange(*names, "v").withColumn("part", F.spark_partition_id())
+    return materialize(ranged, name="group-value-counts")
+
+
+def exact_percentiles_by(df: DataFrame, col: str, ps: Sequence[float], by) -> DataFrame:
+    """Per group: ``avg`` and a column per percentile, interpolated linearly like ``percentile``.
+
+    Rows are counted per group and distinct value and dealt by range
+    (``value_ranges``).  One row per group and range gives the ranks that
+    lie in it; only the ranges that hold a wanted rank are read again, each
+    summed up in order of its values.  A NULL key is a group; a group whose
+    values are all NULL has NULL results.
+    """
+    keys = as_list(by)
+    values = value_ranges(df, col, keys)
+    names = [c for c in values.columns if c not in ("v", "n", "part")]
+    sizes = values.groupBy(*names, "part").agg(F.sum("n").alias("size"), F.sum(F.col("v") * F.col("n")).alias("sum"))
+    # one row per group and range
+    group = Window.partitionBy(*names)
+    before = F.sum("size").over(group.orderBy("part")) - F.col("size")
+    total = F.sum("size").over(group)
+    ranks = [(total - 1) * F.lit(float(p)) for p in ps]
+    starts = sizes.select(
+        *names, "part", "size", before.alias("before"),
+        *[F.floor(r).alias(f"lo{i}") for i, r in enumerate(ranks)], *[F.ceil(r).alias(f"hi{i}") for i, r in enumerate(ranks)],
+        *[(r - F.floor(r)).alias(f"f{i}") for i, r in enumerate(ranks)],
+    )
+    ends = [f"{side}{i}" for i in range(len(ps)) for side in ("lo", "hi")]
+    holds = F.lit(False)
+    for e in ends:
+        holds = holds | ((F.col("before") <= F.col(e)) & (F.col(e) < F.col("before") + F.col("size")))
+    # the range number alone does not tell groups apart, and keys may be NULL
+    wanted = starts.filter(holds).select(*[F.col(c).alias(f"__{c}") for c in starts.columns])
+    same = F.col("part") == F.col("__part")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inside = Window.partitionBy(*names, "part").orderBy("v")
+    placed = values.join(wanted, same).withColumn("upto", F.col("__before") + F.sum("n").over(inside))
+    at = lambda e: (F.col("upto") - F.col("n") <= F.col(f"__{e}")) & (F.col(f"__{e}") < F.col("upto"))
+    picked = placed.groupBy(*names).agg(
+        *[F.max(F.when(at(e), F.col("v"))).alias(e) for e in ends], *[F.max(f"__f{i}").alias(f"f{i}") for i in range(len(ps))]
+    )
+    mixed = [(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(_pname(p)) for i, p in enumerate(ps)]
+    averages = sizes.groupBy(*names).agg((F.sum("sum") / F.sum("size")).alias("avg"))
+    # every group, also one without values
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
+    out = groups
+    for part in (averages, picked.select(*names, *mixed)):
+        right = part.select(*[F.col(c).alias(f"__{c}") if c in names else F.col(c) for c in part.columns])
+        on = F.lit(True)
+        for c in names:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        out = out.join(right, on, "left").drop(*[f"__{c}" for c in names])
+    return out
+
+
 def mean_vs_median(df: DataFrame, col: str, exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """Is the mean representative?  (mean, median, ratio = mean / median).
 

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 
 def registry():
-    from citylens.plans import ingest, parking, sql, stream, taxi
+    from citylens.plans import ingest, parking, sql, stream, taxi, upkeep
 
     out = {}
-    for mod in (taxi, parking, ingest, sql, stream):
+    for mod in (taxi, parking, ingest, sql, stream, upkeep):
         for name, fn in mod.QUERIES.items():
             if name in out:
                 raise ValueError(f"duplicate query {name}")

@@ -44,21 +44,26 @@ YEAR_WITHOUT_CROSS = 1998
 def csv_ticket_years(spark, sf):
     """Yearly ticket files with drifting columns, read as one table and compared year on year.
 
-    The tickets are built and written once, one folder per year and layout.
+    The tickets are built once and written once per layout, a folder per year.
     """
     t = V.tickets(spark, sf).withColumn("year", F.year("issue_ts"))
     t = t.withColumn("issue_ts", F.date_format("issue_ts", "MM/dd/yyyy"))
     raw = t.toDF(*[DISPLAY_NAMES.get(c, c) for c in t.columns])
     once = materialize(raw, partition_by=("year",), name="ticket-years")
     years = sorted(r[0] for r in once.select("year").distinct().collect())  # one number per folder
+    cross = DISPLAY_NAMES["intersecting_street"]
+    extra = F.lit(None).cast("string")
+    # the years of one layout are one write
+    layouts = (
+        ("extra", [y for y in years if y in YEARS_WITH_EXTRA], lambda d: d.withColumn(EXTRA_COLUMN, extra)),
+        ("no-cross", [y for y in years if y == YEAR_WITHOUT_CROSS], lambda d: d.drop(cross)),
+        ("plain", [y for y in years if y not in (*YEARS_WITH_EXTRA, YEAR_WITHOUT_CROSS)], lambda d: d),
+    )
     paths = {}
-    for year in years:
-        one = once.filter(F.col("year") == year).drop("year")
-        if year in YEARS_WITH_EXTRA:
-            one = one.withColumn(EXTRA_COLUMN, F.lit(None).cast("string"))
-        if year == YEAR_WITHOUT_CROSS:
-            one = one.drop(DISPLAY_NAMES["intersecting_street"])
-        paths[year] = write_csv(one, scratch_path(spark, f"tickets-{year}"))
+    for name, of, shaped in layouts:
+        root = scratch_path(spark, f"tickets-{name}")
+        write_csv(shaped(once.filter(F.col("year").isin(of))), root, partition_by=("year",))
+        paths.update({year: f"{root}/year={year}" for year in of})
     core = ["summons_number", "registration_state", "issue_date", "violation_code", "intersecting_street"]
     stacked = read_ticket_years(spark, paths, keep=core, lower=True)
     metrics = {"rows": F.count(F.lit(1)), "no_cross_street": F.count_if(F.col("intersecting_street").isNull())}
@@ -86,25 +91,31 @@ def csv_tickets_text(spark, sf):
     return back.select("summons_number", "registration_state", "issue_date", "violation_code", "street_name")
 
 
-#: Files that a month's trips are dealt over.
-FILES_PER_MONTH = 16
+#: Trips of one file: a month's trips are dealt over as many files as they need.
+ROWS_PER_FILE = 1_000_000
 TRIP_LINE = ["vendor_id", "pickup_ts", "dropoff_ts", "passenger_count", "fare_amount", "tip_amount"]
 
 
-def _trip_lines(spark, sf, odd: str | None = None):
+def _trip_lines(spark, sf, odd: str | None = None, torn: bool = False):
     """Monthly trip files as they come: a header, a blank second line, then the trips (one folder per month and file).
 
-    ``odd`` is written for 6 passengers.
+    ``odd`` is written for 6 passengers; with ``torn`` lines of no passengers lack their last field and lines of 5
+    passengers have one more.
     """
-    trips = V.trips(spark, sf).select(*TRIP_LINE)
+    month = F.date_format("pickup_ts", "yyyy-MM").alias("month")
+    trips = materialize(V.trips(spark, sf).select(*TRIP_LINE, month), name="line-trips")
     schema = T.StructType([trips.schema[c] for c in TRIP_LINE])
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRIP_LINE}
     if odd is not None:
-        text = F.when(F.col("passenger_count") == 6, F.lit(odd)).otherwise(F.col("passenger_count").cast("string"))
-        trips = trips.withColumn("passenger_count", text)
-    month = F.date_format("pickup_ts", "yyyy-MM")
-    part = F.pmod(F.xxhash64(*TRIP_LINE), F.lit(FILES_PER_MONTH)).cast("int")
-    lines = trips.select(month.alias("month"), part.alias("part"), F.lit(2).alias("kind"), F.concat_ws(",", *[
-        F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRIP_LINE]).alias("line"))
+        text["passenger_count"] = F.when(F.col("passenger_count") == 6, F.lit(odd)).otherwise(text["passenger_count"])
+    line = F.concat_ws(",", *text.values())
+    if torn:
+        short = F.concat_ws(",", *list(text.values())[:-1])
+        line = F.when(F.col("passenger_count") == 0, short).when(F.col("passenger_count") == 5, F.concat(line, F.lit(",x"))).otherwise(line)
+    files = F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("files")
+    sized = trips.join(trips.groupBy("month").agg(files), "month")
+    part = F.pmod(F.xxhash64(*TRIP_LINE), F.col("files")).cast("int")
+    lines = sized.select("month", part.alias("part"), F.lit(2).alias("kind"), line.alias("line"))
     starts = F.array(F.struct(F.lit(0).alias("kind"), F.lit(",".join(TRIP_LINE)).alias("line")),
                      F.struct(F.lit(1).alias("kind"), F.lit("").alias("line")))
     heads = lines.select("month", "part").distinct().select("month", "part", F.inline(starts))

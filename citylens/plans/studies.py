@@ -237,6 +237,11 @@ class TaxiStudy:
         s = summary_percentiles(self._tips(), self.c("tip"), exact=True)
         return s.select(*[_r(c, 6) for c in s.columns])
 
+    def tip_percentiles_by_passengers(self):
+        p = self.c("passengers")
+        s = summary_percentiles(self._tips(), self.c("tip"), ps=(0.1, 0.25, 0.5, 0.75, 0.99), exact=True, by=p)
+        return s.select(p, *[_r(c, 6) for c in s.columns if c != p])
+
     def tip_mean_vs_median(self):
         s = mean_vs_median(self._tips(), self.c("tip"), exact=True)
         return s.select(*[_r(c, 6) for c in s.columns])
@@ -291,7 +296,7 @@ class TaxiStudy:
         "rule_counts_by_vendor", "worst_vendor", "vendor_month_counts", "vendor_year_counts",
         "vendor_year_counts_in_months", "vendor_dropoff_year_counts", "vendor_dropoff_month_counts",
         "clean", "union_months", "avg_fare_by_month", "passenger_counts", "payment_counts", "top_payment",
-        "tip_percentiles", "tip_percentiles_exact", "tip_mean_vs_median", "extra_fraction",
+        "tip_percentiles", "tip_percentiles_exact", "tip_percentiles_by_passengers", "tip_mean_vs_median", "extra_fraction",
         "passenger_tip_corr", "avg_tip_by_passengers", "tip_buckets", "tip_bucket_share",
         "speed_by_month", "speed_by_day", "speed_overall", "speed_vs_overall",
     )

@@ -112,10 +112,13 @@ def read_ticket_years(
 
 
 def count_malformed(spark: SparkSession, path: str | list[str], schema: T.StructType, **options: str) -> DataFrame:
-    """One row ``(rows, malformed)``: how many lines have fields that do not fit the schema (PERMISSIVE makes them NULL)."""
+    """One row ``(rows, malformed)``: how many lines have fields that do not fit the schema (PERMISSIVE makes them NULL).
+
+    A file whose header differs from the schema is an error, as in ``read_trips``.
+    """
     corrupt = "_malformed"
     full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    reader = spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.schema(full).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
     lines = reader.option("columnNameOfCorruptRecord", corrupt).options(**options).csv(path)
     # all columns are used (any hash is below the bound), so that every field of a line is parsed
     parsed = F.xxhash64(*[F.col(f"`{f.name}`") for f in schema.fields]) <= F.lit(2**63 - 1)
@@ -123,10 +126,16 @@ def count_malformed(spark: SparkSession, path: str | list[str], schema: T.Struct
     return lines.agg(F.count(F.lit(1)).alias("rows"), bad.alias("malformed"))
 
 
-def write_csv(df: DataFrame, path: str, timestamp_format: str = TRIP_TIMESTAMP_FORMAT) -> str:
-    """Write ``df`` as header CSV (used to produce fixtures and exports); blanks in names and values are kept."""
+def write_csv(
+    df: DataFrame, path: str, timestamp_format: str = TRIP_TIMESTAMP_FORMAT, partition_by: Sequence[str] = ()
+) -> str:
+    """Write ``df`` as header CSV (used to produce fixtures and exports); blanks in names and values are kept.
+
+    The ``partition_by`` columns become folders and are left out of the files.
+    """
     (
         df.write.mode("overwrite")
+        .partitionBy(*partition_by)
         .option("header", True)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citylens.session import scratch_path
@@ -60,6 +60,41 @@ def materialize(
     return spark.read.parquet(target)
 
 
+def materialize_audited(
+    df: DataFrame,
+    rules: Mapping[str, Column],
+    keep: Column | None = None,
+    path: str | None = None,
+    partition_by: Sequence[str] = (),
+    name: str = "audited",
+) -> tuple[DataFrame, dict[str, int]]:
+    """Write the rows that meet ``keep`` and count the rules in the same pass: ``(table, counts)``.
+
+    ``counts`` has the rows met (``rows``), those written (``kept``), and per rule the rows that violate it: of all
+    rows for a rule that is about what is left out, so ``keep`` and the rules are looked at before anything is dropped.
+    The counts come from the tasks that write (``DataFrame.observe``); nothing is shuffled after them, so a task that
+    is run again counts once.  A NULL ``keep`` leaves a row out.
+    """
+    for reserved in ("rows", "kept"):
+        if reserved in rules:
+            raise ValueError(f"{reserved} is no name for a rule")
+    target = path or scratch_path(df.sparkSession, name)
+    if any(_below(f, target) for f in df.inputFiles()):
+        raise ValueError(f"the table is read from {target}: write it elsewhere")
+    inside = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    seen = Observation()
+    audited = df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(inside).alias("kept"),
+        *[F.count_if(predicate).alias(rule) for rule, predicate in rules.items()],
+    )
+    writer = audited.filter(inside).write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+    writer.parquet(target)
+    counts = {k: int(v) for k, v in seen.get.items()}
+    return df.sparkSession.read.schema(df.schema).parquet(target), counts
+
+
 def _below(file: str, folder: str) -> bool:
     """Whether a file's URL lies in a folder, whatever the spelling of the local scheme."""
     plain = lambda p: re.sub(r"^file:/+", "/", p).rstrip("/")
