@@ -9,11 +9,12 @@ from citylens.functions.dates import (
     parse_date,
     year_ranges,
 )
+from citylens.functions.epoch import from_epoch, to_epoch
 from citylens.functions.missing import is_missing
 from citylens.functions.speed import duration_seconds, speed_mph
 
 __all__ = [
     "bucket_labels", "bucketize", "season", "time_bin", "parse_clock", "in_period",
     "in_periods", "month_ranges", "parse_date", "year_ranges", "is_missing",
-    "duration_seconds", "speed_mph",
+    "duration_seconds", "speed_mph", "from_epoch", "to_epoch",
 ]

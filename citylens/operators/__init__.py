@@ -25,6 +25,7 @@ from citylens.operators.frequency import (
     top_groups_of,
     top_k_per_group,
     top_n,
+    top_n_bounded,
 )
 from citylens.operators.quality import (
     clean_period,
@@ -39,7 +40,16 @@ from citylens.operators.quality import (
     trip_rules,
     worst_offender,
 )
-from citylens.operators.revenue import FINES, fine_revenue, fine_table, revenue_total, top_revenue_code
+from citylens.operators.revenue import (
+    FINES,
+    fine_revenue,
+    fine_revenue_by_year,
+    fine_table,
+    fines_in_force,
+    revenue_total,
+    top_revenue_code,
+)
+from citylens.operators.rollup import count_bitmaps, distinct_bitmaps, merge_bitmaps, rollup_reports, value_numbers
 from citylens.operators.stats import (
     avg_by,
     avg_speed,

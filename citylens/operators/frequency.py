@@ -43,6 +43,54 @@ def top_n(
     return counts.orderBy(F.desc(name), F.asc(col)).limit(n)
 
 
+def top_n_bounded(
+    df: DataFrame,
+    col: str,
+    n: int = 5,
+    exclude: Iterable | None = (None,),
+    name: str = "count",
+    tracked: int = 10_000,
+) -> DataFrame:
+    """``top_n`` without a shuffle of all distinct values, where the counts allow a proof; otherwise ``top_n`` itself.
+
+    A first pass keeps a frequent-items sketch of at most ``tracked`` counters per task (``approx_top_k``, mergeable)
+    and gives candidates; a second counts the candidates exactly, so at most that many rows per task are shuffled.
+    A value that is no candidate occurs at most ``candidate_bound`` times: if the ``n``-th candidate occurs more often,
+    the candidates' ``n`` best are the table's, in the order of ``top_n``.  If the bound does not separate them (nearly
+    equal counts, or fewer than ``n`` frequent values), the exact ``top_n`` is returned.
+    """
+    kept = exclude_values(df, col, exclude)
+    most = min(4 * n + 20, tracked, 10_000)
+    found = frequent_candidates(kept, col, tracked, most) if n <= most else None
+    if found is not None:
+        candidates, bound = found
+        listed = df.sparkSession.createDataFrame([(v,) for v in candidates], f"__value {df.schema[col].dataType.simpleString()}")
+        # at most 4 n + 20 rows
+        matched = kept.join(F.broadcast(listed), F.col(col).eqNullSafe(F.col("__value")), "left_semi")
+        best = count_by(matched, col, name=name).orderBy(F.desc(name), F.asc(col)).limit(n)
+        rows = best.collect()
+        if len(rows) == n and rows[-1][name] > bound:
+            return df.sparkSession.createDataFrame(rows, best.schema).orderBy(F.desc(name), F.asc(col))
+    return top_n(df, col, n, exclude, name)
+
+
+def frequent_candidates(df: DataFrame, col: str, tracked: int, most: int) -> tuple[list, int] | None:
+    """Up to ``most`` candidates for the frequent values of ``col`` and how often any other value can occur.
+
+    A sketch of ``tracked`` counters is off by at most 3.5 / ``tracked`` of the rows; a value it does not return had a
+    lower bound within that error, or an estimate no larger than the last one returned.  None without rows.
+    """
+    sketch = F.expr(f"approx_top_k(`{col}`, {int(most)}, {int(tracked)})")
+    row = df.agg(F.count(F.lit(1)).alias("rows"), sketch.alias("items")).first()
+    if not row["rows"]:
+        return None
+    items = row["items"] or []
+    bound = 2 * -(-7 * row["rows"] // (2 * tracked))
+    if len(items) >= most:
+        bound = max(bound, items[-1]["count"])
+    return [i["item"] for i in items], bound
+
+
 def rank_within(
     counts: DataFrame, group: str | Sequence[str], k: int = 3, by: str = "count", rank: str = "rank"
 ) -> DataFrame:

@@ -342,8 +342,14 @@ class ParkingStudy:
         return self.in_year() if self.clean_table is None else self.clean_table
 
     def with_materialized_clean(self, path: str | None = None) -> "ParkingStudy":
-        """Write the in-year tickets once (Parquet, in shared storage by default) and analyse that table."""
-        return replace(self, clean_table=materialize(self.clean(), path, name="clean-tickets"))
+        """Write the in-year tickets once (Parquet by issue year and month, in shared storage by default) and analyse that table.
+
+        Years written to one path stay side by side, and a year that comes again replaces its own months.
+        """
+        issue = self.issue()
+        staged = self.clean().withColumn("issue_year", F.year(issue)).withColumn("issue_month", F.month(issue))
+        written = materialize(staged, path, partition_by=("issue_year", "issue_month"), name="clean-tickets")
+        return replace(self, clean_table=written.filter(F.col("issue_year") == self.year))
 
     # -- examining ----------------------------------------------------------------------
     def ticket_count(self):
