@@ -49,7 +49,7 @@ def csv_ticket_years(spark, sf):
     t = V.tickets(spark, sf).withColumn("year", F.year("issue_ts"))
     t = t.withColumn("issue_ts", F.date_format("issue_ts", "MM/dd/yyyy"))
     raw = t.toDF(*[DISPLAY_NAMES.get(c, c) for c in t.columns])
-    once = materialize(raw, partition_by=("year",), name="ticket-years")
+    once = materialize(raw, name="ticket-years")
     years = sorted(r[0] for r in once.select("year").distinct().collect())  # one number per folder
     cross = DISPLAY_NAMES["intersecting_street"]
     extra = F.lit(None).cast("string")

@@ -56,7 +56,7 @@ def csv_mixed_folder(spark, sf):
         F.col("violation_code").alias("Violation Code"), F.col("violation_precinct").alias("Violation Precinct"),
         F.col("house_number").alias("House Number  "), F.col("intersecting_street").alias("Intersecting Street"),
         layout.alias("layout"),
-    ), partition_by=("layout",), name="layouts")
+    ), name="layouts")
     one = {name: once.filter(F.col("layout") == name).drop("layout") for name in "abc"}
     half = (F.col("Violation Precinct") + 0.5).alias("Violation Precinct")
     meter = F.concat(F.lit("M-"), (F.col("Summons Number") % 7).cast("string")).alias("Meter Number")

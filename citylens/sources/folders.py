@@ -47,15 +47,15 @@ def layouts(spark: SparkSession, path: str | list[str], glob: str = "*.csv*") ->
 def type_level(value: Column) -> Column:
     """The place in ``LATTICE`` a text needs; NULL for NULL.
 
-    Whole numbers that fit neither ``int`` nor ``bigint``, and those too long to be exact beside fractions, stay text
-    only if nothing else holds them: a number with a fraction or exponent needs ``double``, other text ``string``.
+    A whole number needs ``int`` or, beyond its range, ``bigint``; one with a fraction or exponent ``double``; a longer whole
+    number and any other text ``string``.
     """
-    whole = value.rlike(_WHOLE)
+    # casts only of what looks like a number (a failed cast is slow), and of short whole numbers not at all
+    length = F.length(F.trim(value))
+    exact = F.when(length <= 9, 0).when(value.try_cast("int").isNotNull(), 0).when(value.try_cast("bigint").isNotNull(), 1).otherwise(3)
     return (
         F.when(value.isNull(), None)
-        .when(whole & value.try_cast("int").isNotNull(), 0)
-        .when(whole & value.try_cast("bigint").isNotNull(), 1)
-        .when(whole, 3)
+        .when(value.rlike(_WHOLE), exact)
         .when(value.rlike(_NUMBER) & (F.abs(value.try_cast("double")) < float("inf")), 2)
         .otherwise(3)
     )
@@ -70,7 +70,10 @@ def widest_types(df: DataFrame) -> dict[str, tuple[int | None, bool]]:
         return {}
     quoted = [F.col(f"`{c}`") for c in df.columns]
     levels = [F.max(type_level(c)).alias(f"l{i}") for i, c in enumerate(quoted)]
-    large = [F.max(c.rlike(_WHOLE) & (F.abs(c.try_cast("bigint")) > _EXACT)).alias(f"b{i}") for i, c in enumerate(quoted)]
+    large = [
+        F.max((F.length(c) > 15) & c.rlike(_WHOLE) & (F.abs(c.try_cast("decimal(38,0)")) > _EXACT)).alias(f"b{i}")
+        for i, c in enumerate(quoted)
+    ]
     row = df.agg(*levels, *large).first()
     return {c: (row[f"l{i}"], bool(row[f"b{i}"])) for i, c in enumerate(df.columns)}
 
