@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: term-at-a-time accumulation into dense score arrays.
 
-Vectors are quantised to integers and packed as sparse rows.  Queries and
+Vectors are packed as rows and quantised to integers where they are compared.  Queries and
 candidates are dealt to the cells of a grid (query block x candidate
 block), both blocks of bounded size, so a cell fits one task however many
 vectors there are and no side is broadcast.  Inside a cell the candidates
@@ -11,6 +11,7 @@ selection keeps the k best, and a window merges the cells' winners.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,18 @@ from citylens.llm._tables import documents, stored
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 4096
 QUERY_STRIP = 128
-#: Scores and components from this magnitude on do not fit a long.
-TOO_LARGE = float(2**63)
+#: Scores from this magnitude on do not fit a long; sums of products that may reach half of it are worked out exactly.
+TOO_LARGE = 2**63
+_SAFE = float(2**62)
 
 
-def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(vec_id, weights)``: ``floor(scale * x)`` per component as packed little-endian 64-bit integers.
+def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``(vec_id, vector)`` with the components packed as little-endian doubles.
 
-    Vectors that are NULL, hold a NULL or non-finite component, or one that does not fit a long when scaled
-    take no part; nor do rows without an id.
+    Vectors that are NULL or hold a NULL or non-finite component take no part; nor do rows without an id.
     """
     vector = F.col(f"`{vector_col}`").cast("array<double>")
-    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < TOO_LARGE))
+    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & usable
     )
@@ -45,23 +46,35 @@ def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
         for batch in batches:
             column = batch.column("v")
             offsets = np.asarray(column.offsets)
-            scaled = np.floor(np.asarray(column.values, dtype=np.float64)[offsets[0] : offsets[-1]] * scale)
-            flat, offsets = scaled.astype("<i8"), offsets - offsets[0]
+            flat, offsets = np.asarray(column.values, dtype="<f8")[offsets[0] : offsets[-1]], offsets - offsets[0]
             packed = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(packed, pa.binary())], names=["vec_id", "weights"]
+                [batch.column("vec_id"), pa.array(packed, pa.binary())], names=["vec_id", "vector"]
             )
 
-    return kept.mapInArrow(pack, "vec_id long, weights binary")
+    return kept.mapInArrow(pack, "vec_id long, vector binary")
 
 
-def _matrix(packed: pd.Series) -> np.ndarray:
-    """Rows padded with zeros to the longest vector (a missing component adds nothing to a product)."""
-    rows = [np.frombuffer(b, dtype="<i8") for b in packed]
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), dtype=np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+class _Rows:
+    """The vectors of one side of a cell, padded with zeros to the longest (a missing component adds nothing).
+
+    ``weights`` are the quantised components as longs, zero where one does not fit; ``sizes`` their magnitudes in double.
+    """
+
+    def __init__(self, packed: pd.Series, scale: int) -> None:
+        rows = [np.frombuffer(b, dtype="<f8") for b in packed]
+        self.scale = scale
+        self.vectors = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+        for i, r in enumerate(rows):
+            self.vectors[i, : len(r)] = r
+        with np.errstate(over="ignore"):
+            scaled = np.floor(self.vectors * scale)
+        self.sizes = np.abs(scaled)
+        self.weights = np.where(self.sizes < TOO_LARGE, scaled, 0.0).astype(np.int64)
+
+    def exact(self, row: int) -> list[int]:
+        """The quantised components as integers of any size (a double from 2^53 on is a whole number)."""
+        return [int(x) * self.scale if abs(x) >= 2**53 else math.floor(x * self.scale) for x in self.vectors[row].tolist()]
 
 
 def _postings(matrix: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,30 +96,27 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))][:k]
 
 
-def _fits(queries: np.ndarray, candidates: np.ndarray) -> None:
-    """An error if a score may not fit a long; sums of magnitudes are worked out only where the bound by the largest is not enough."""
-    width = min(queries.shape[1], candidates.shape[1])
-    if not width or not len(queries) or not len(candidates):
-        return
-    a, b = (np.abs(m[:, :width].astype(np.float64)) for m in (queries, candidates))
-    if (a.max(axis=0) * b.max(axis=0)).sum() < TOO_LARGE:
-        return
-    for start in range(0, len(a), QUERY_STRIP):
-        if (a[start : start + QUERY_STRIP] @ b.T).max() >= TOO_LARGE:
-            raise OverflowError("a score, or a sum of its products, does not fit a 64-bit integer")
-
-
-def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    ids, numbers = candidates["vec_id"].to_numpy(), candidates["n"].to_numpy()
-    vectors = _matrix(candidates["weights"])
-    posting_lists = _postings(vectors)
-    query_ids, query_numbers, weights = queries["vec_id"].to_numpy(), queries["n"].to_numpy(), _matrix(queries["weights"])
-    _fits(weights, vectors)
-    found: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
-    for start in range(0, len(queries), QUERY_STRIP):
-        strip = weights[start : start + QUERY_STRIP]
+def _best_exact(scores: list[int], ids: np.ndarray, k: int) -> np.ndarray:
+    return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+
+
+def _search_cell(left: pd.DataFrame, right: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
+    ids, numbers = right["vec_id"].to_numpy(), right["n"].to_numpy()
+    query_ids, query_numbers = left["vec_id"].to_numpy(), left["n"].to_numpy()
+    queries, candidates = _Rows(left["vector"], scale), _Rows(right["vector"], scale)
+    posting_lists = _postings(candidates.weights)
+    width = min(queries.weights.shape[1], candidates.weights.shape[1])
+    a, b = queries.sizes[:, :width], candidates.sizes[:, :width]
+    with np.errstate(over="ignore", invalid="ignore"):
+        plain = not a.size or not b.size or bool((a.max(axis=0) * b.max(axis=0)).sum() < _SAFE)
+    found: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": [], "unfit": []}
+    for start in range(0, len(left), QUERY_STRIP):
+        strip = queries.weights[start : start + QUERY_STRIP]
         scores = np.zeros((len(strip), len(ids)), dtype=np.int64)
-        for term in range(min(strip.shape[1], len(posting_lists))):
+        with np.errstate(over="ignore", invalid="ignore"):
+            # pairs whose products may not add up in a long (not a number: a component is beyond doubles)
+            doubtful = None if plain else ~(a[start : start + QUERY_STRIP] @ b.T < _SAFE)
+        for term in range(width):
             members, postings = posting_lists[term]
             if not len(members):
                 continue
@@ -119,12 +129,23 @@ def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
         for row, query in enumerate(query_ids[start : start + QUERY_STRIP]):
             number = query_numbers[start + row]
             others = np.flatnonzero(numbers != number)
-            best = others[_best(scores[row, others], ids[others], k)]
+            if doubtful is not None and doubtful[row, others].any():
+                mine, exact = queries.exact(start + row), scores[row, others].tolist()
+                for i in np.flatnonzero(doubtful[row, others]):
+                    exact[i] = sum(x * y for x, y in zip(mine, candidates.exact(others[i])))
+                best = _best_exact(exact, ids[others], k)
+                values = [exact[i] for i in best]
+            else:
+                best = _best(scores[row, others], ids[others], k)
+                values = scores[row, others[best]].tolist()
             found["query"] += [number] * len(best)
             found["query_id"] += [query] * len(best)
-            found["vec_id"] += ids[best].tolist()
-            found["score"] += scores[row, best].tolist()
-    return pd.DataFrame(found).astype("int64")
+            found["vec_id"] += ids[others[best]].tolist()
+            # a score beyond a long keeps its place at the end it passed; it is an error if it is returned
+            found["score"] += [min(max(v, -TOO_LARGE), TOO_LARGE - 1) for v in values]
+            found["unfit"] += [not -TOO_LARGE <= v < TOO_LARGE for v in values]
+    kinds = {"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64", "unfit": "bool"}
+    return pd.DataFrame(found).astype(kinds)
 
 
 def exact_top_k(
@@ -143,9 +164,10 @@ def exact_top_k(
     own is a candidate, ties go to the smaller id.  Vectors of different
     lengths are compared over their common components.  ``is_query`` is a
     predicate on ``vec_id``.  An id that occurs on several rows is one
-    candidate, and one query with a list of its own, per row.  A score that does not fit a long is an error.  No vectors or no queries: an empty result.
+    candidate, and one query with a list of its own, per row.  Components and sums of any size are worked out exactly;
+    only a returned score that does not fit a long is an error.  No vectors or no queries: an empty result.
     """
-    packed = stored(quantise(df, id_col, vector_col, scale), "vectors")
+    packed = stored(usable_vectors(df, id_col, vector_col), "vectors")
     total = packed.agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries")).first()
     columns, rows = -(-total["rows"] // candidate_block), -(-total["queries"] // query_block)
     # the packed table is written, so its rows keep their order and repeated rows are dealt apart
@@ -155,25 +177,26 @@ def exact_top_k(
     queries = packed.filter(is_query).select(
         (deal % max(rows, 1)).alias("row"),
         F.explode(F.sequence(F.lit(0), F.lit(max(columns, 1) - 1))).alias("col"),
-        "n", "vec_id", "weights",
+        "n", "vec_id", "vector",
     )
     candidates = packed.select(
         (deal % max(columns, 1)).alias("col"),
         F.explode(F.sequence(F.lit(0), F.lit(max(rows, 1) - 1))).alias("row"),
-        "n", "vec_id", "weights",
+        "n", "vec_id", "vector",
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search_cell(left, right, k)
+        return _search_cell(left, right, k, scale)
 
     winners = (
         queries.groupBy("row", "col")
         .cogroup(candidates.groupBy("row", "col"))
-        .applyInPandas(search, "query long, query_id long, vec_id long, score long")
+        .applyInPandas(search, "query long, query_id long, vec_id long, score long, unfit boolean")
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = winners.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    error = F.raise_error(F.lit("a score does not fit a 64-bit integer")).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", F.when(F.col("unfit"), error).otherwise(F.col("score")).alias("score"))
 
 
 def op10_exact_top_k(spark, sf_dir):

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,10 +43,10 @@ def test_against_brute_force(spark, blocks):
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]),
-        (50, [0.1, -0.2]), (6, [1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 0.5, 9.0]), (9, [1e30, 0.0]),
+        (50, [0.1, -0.2]), (6, [1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 0.5, 9.0]), (9, [-1e30, 0.0]),
     ]
-    want = [r for r in plain([r for r in rows if r[0] != 9])]
-    assert run(spark, [(*r, "x", 0) for r in rows]) == want
+    # four candidates of a query score better than the huge one
+    assert run(spark, [(*r, "x", 0) for r in rows], k=3) == plain(rows, k=3)
 
 
 def test_fewer_than_k_and_empty(spark):
@@ -62,3 +63,20 @@ def test_large_components_and_repeated_ids(spark):
     assert sorted(s for _, _, _, s in got) == sorted(x * 65536 for x in (2, 3, 2, 6))
     with pytest.raises(Exception, match="does not fit"):
         run(spark, [(0, [1e12], "x", 0), (1, [1e12], "x", 0)])
+
+
+def test_only_returned_scores_have_to_fit(spark):
+    # the query's product with itself does not fit; its candidates' scores do
+    rows = [(0, [1.0, 2.0]), (1, [2.0, -1.0]), (100, [1e9, 1e9])]
+    assert run(spark, [(*r, "x", 0) for r in rows]) == plain(rows)
+    # large products that cancel, and a candidate far below the others
+    rows = [(0, [1e9, 1.0, 1e9]), (1, [1e9, 3.0, -1e9]), (2, [1.0, 1.0, 1.0]), (3, [-1e30, 0.0, 0.0]), (4, [0.5, 0.0, 0.0])]
+    assert run(spark, [(*r, "x", 0) for r in rows], k=3) == plain(rows, k=3)
+    with pytest.raises(Exception, match="does not fit"):
+        run(spark, [(*r, "x", 0) for r in rows], k=4)
+
+
+def test_components_of_any_size():
+    rows = K._Rows([np.array([1e300, -1e306, 0.3, -0.3]).tobytes()], 256)
+    assert rows.exact(0) == [int(1e300) * 256, int(-1e306) * 256, 76, -77]
+    assert rows.weights.tolist() == [[0, 0, 76, -77]]
