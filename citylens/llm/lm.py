@@ -1,16 +1,14 @@
 """Language-model scores: marginal probability of a text over all its subword segmentations.
 
-The pieces are those of an existing byte-level vocabulary, and every
-training word is a piece of its own; their unigram scores are estimated from
-the training documents by expectation maximisation over the table of
-distinct training words (every word, with its count).  A text is a sequence
-of words, each written with a leading space, and one end; no piece reaches
-across a space, so its lattice falls apart into the lattices of its words
-and the forward recursion runs once per distinct word, in log space, over
-all words of one length at a time.  The edge that spans a word with one
-piece is added to the sum over the other segmentations; how much of the mass
-the others get is estimated leaving each token out of its own word's count,
-so words never seen before have their share.
+The pieces are those of an existing byte-level vocabulary; their unigram
+scores are estimated from the training documents by expectation
+maximisation over the table of distinct training words (every word, with
+its count).  A text is a sequence of words, each written with a leading
+space, and one end; no piece reaches across a space, so its lattice falls
+apart into the lattices of its words and the forward recursion runs once per
+distinct word, in log space, over all words of one length at a time.  A
+word's score is its marginal over all segmentations into these pieces, seen
+or not; nothing else makes up a word's probability.
 
 Counts, pieces' expectations and word scores are tables.  Words that make up
 at least 1 / ``HOT_SHARE`` of all training tokens (so at most ``HOT_SHARE``
@@ -155,11 +153,11 @@ class Lattice:
         return out
 
     def expected(
-        self, words: list[bytes], weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], log_probs: np.ndarray
+        self, words: list[bytes], weigh: Callable[[np.ndarray], np.ndarray], log_probs: np.ndarray
     ) -> np.ndarray:
         """Expected number of uses of every piece over the posterior segmentations of the words.
 
-        ``weigh(places, log_marginals)`` says how often each of some words was segmented into these pieces.
+        ``weigh(places)`` says how often each of some words occurs.
         """
         logs = np.append(log_probs, -np.inf)
         uses = np.zeros(len(logs))
@@ -168,7 +166,7 @@ class Lattice:
             edges: list | None = [] if n <= KEEP_EDGES else None
             prefixes, alpha = self._forward(codes, logs, edges)
             total = alpha[:, -1]
-            weight = np.where(np.isfinite(total), weigh(rows, total), 0.0)
+            weight = np.where(np.isfinite(total), weigh(rows), 0.0)
             total = np.where(np.isfinite(total), total, 0.0)
             log_beta = np.full(alpha.shape, -np.inf)
             log_beta[:, n] = 0.0
@@ -223,66 +221,46 @@ def word_counts(df: DataFrame, text_col: str, train: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Natural logs: of the pieces' probabilities, of the end, and of the shares of the two ways to make a word."""
+    """Natural logs: of the pieces' probabilities, of the end, and of a token being a word."""
 
     log_probs: np.ndarray
     log_end: float
-    log_whole: float  # per count of the word, as one piece
-    log_parts: float  # times the marginal over the vocabulary's pieces
+    log_word: float
 
-    def word_logs(self, counts: np.ndarray, marginals: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(self.log_whole + np.log(counts), self.log_parts + marginals)
+    def word_logs(self, marginals: np.ndarray) -> np.ndarray:
+        return self.log_word + marginals
 
 
-def _model(log_probs: np.ndarray, parts: float, tokens: int, ends: int) -> Model:
+def _model(log_probs: np.ndarray, tokens: int, ends: int) -> Model:
     log_end = math.log(ends + SMOOTHING) - math.log(tokens + 2 * SMOOTHING)
-    word = math.log1p(-math.exp(log_end))
-    words = tokens - ends
-    parts = min(max(parts, 1e-4), 1.0) if words else 1.0
-    whole = word + math.log1p(-parts) - math.log(words) if parts < 1.0 else -math.inf
-    return Model(log_probs, log_end, whole, word + math.log(parts))
+    return Model(log_probs, log_end, math.log1p(-math.exp(log_end)))
 
 
 def fit_model(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> Model:
-    """Pieces' scores and the share of segmented words by EM over all counted training words.
+    """Pieces' scores by EM over all counted training words: every occurrence spreads over its word's segmentations.
 
-    A token is taken to be its word's own piece with the probability that
-    its other occurrences give it, else to be segmented; so words counted
-    once are all segmented.  Only one number per piece comes to the driver
-    in each round.
+    Only one number per piece comes to the driver in each round.
     """
     vocabulary_of = counts.sparkSession.sparkContext.broadcast(pieces)
     words = counts.filter((F.col("c") > 0) & (F.col("word") != F.lit(END)))
     is_end = F.col("word") == F.lit(END)
-    tokens, ends, single = counts.agg(
-        F.sum("c"), F.sum(F.when(is_end, F.col("c"))), F.count_if((F.col("c") == 1) & ~is_end)
-    ).first()
+    tokens, ends = counts.agg(F.sum("c"), F.sum(F.when(is_end, F.col("c")))).first()
     tokens, ends = tokens or 0, ends or 0
-    uniform = np.full(len(pieces), -math.log(len(pieces)))
-    model = _model(uniform, single / max(1, tokens - ends), tokens, ends)
+    model = _model(np.full(len(pieces), -math.log(len(pieces))), tokens, ends)
     for _ in range(rounds if tokens > ends else 0):
 
         def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            lattice, uses = Lattice(vocabulary_of.value), np.zeros(len(model.log_probs) + 1)
+            lattice, uses = Lattice(vocabulary_of.value), np.zeros(len(model.log_probs))
             for batch in slices(batches, 8192):
                 c = batch.column("c").to_numpy().astype(np.float64)
-
-                def segmented(rows: np.ndarray, marginals: np.ndarray) -> np.ndarray:
-                    alone = model.word_logs(c[rows] - 1, marginals)
-                    weight = c[rows] * np.exp(model.log_parts + marginals - alone)
-                    uses[-1] += weight.sum()
-                    return weight
-
-                uses[:-1] += lattice.expected(batch.column("word").to_pylist(), segmented, model.log_probs)
+                uses += lattice.expected(batch.column("word").to_pylist(), lambda rows: c[rows], model.log_probs)
             some = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(uses[some])], names=["piece", "uses"])
 
-        total = np.zeros(len(pieces) + 1)
+        total = np.zeros(len(pieces))
         for row in words.mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect():
             total[row[0]] = row[1]
-        mass = math.log(total[:-1].sum() + SMOOTHING * len(pieces))
-        model = _model(np.log(total[:-1] + SMOOTHING) - mass, total[-1] / (tokens - ends), tokens, ends)
+        model = _model(np.log(total + SMOOTHING) - math.log(total.sum() + SMOOTHING * len(pieces)), tokens, ends)
     return model
 
 
@@ -295,7 +273,7 @@ def word_scores(counts: DataFrame, pieces: list[bytes], model: Model) -> DataFra
         lattice = Lattice(pieces)
         for batch in slices(batches, 8192):
             words = batch.column("word").to_pylist()
-            logs = model.word_logs(batch.column("c").to_numpy(), lattice.log_marginals(words, model.log_probs))
+            logs = model.word_logs(lattice.log_marginals(words, model.log_probs))
             logs[[i for i, w in enumerate(words) if w == END]] = model.log_end
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("c"), pa.array(logs / LN10)], names=["word", "c", "lm"]

@@ -39,7 +39,7 @@ def test_lattice_sums_all_segmentations():
         for path, p in paths:
             for k in path:
                 uses[k] += c * math.exp(p - total)
-    assert lattice.expected(words, lambda rows, _: counts[rows], logs) == pytest.approx(uses)
+    assert lattice.expected(words, lambda rows: counts[rows], logs) == pytest.approx(uses)
 
 
 def test_long_word_and_vocabulary():
@@ -95,16 +95,15 @@ def test_score_is_the_sum_over_words(spark):
     pieces = L.vocabulary()
     model = L.fit_model(counts, pieces, 2)
     assert table[b""] == 40
-    # the pieces share all of their mass, and so do the end and the two ways to make a word
+    # the pieces share all of their mass, and so do the end and the words
     assert np.exp(model.log_probs).sum() == pytest.approx(1.0)
-    n_words = sum(table.values()) - 40
-    assert math.exp(model.log_end) + n_words * math.exp(model.log_whole) + math.exp(model.log_parts) == pytest.approx(1.0)
+    assert math.exp(model.log_end) + math.exp(model.log_word) == pytest.approx(1.0)
     lattice = L.Lattice(pieces)
     got = {r.doc_id: r.score for r in L.score_texts(df, F.lit(True), rounds=2).collect()}
     for d, text in rows:
         words = text.encode().split()
-        logs = model.word_logs(np.array([table[w] for w in words]), lattice.log_marginals(words, model.log_probs))
-        assert got[d] == pytest.approx((logs.sum() + model.log_end) / math.log(10))
+        logs = lattice.log_marginals(words, model.log_probs)
+        assert got[d] == pytest.approx((logs.sum() + len(words) * model.log_word + model.log_end) / math.log(10))
 
 
 def test_odd_rows(spark):
@@ -128,10 +127,23 @@ def test_prose_scores_above_shuffled_letters(spark):
     assert all(score[d] > score[10_000 + d] for d, text in rows[:40] if len(text) > 200)
 
 
-def test_segmented_share_leaves_each_token_out(spark):
-    # half of the tokens are one word, the others are met once each: only those need their letters
-    words = ["same"] * 200 + [f"once{i}" for i in range(200)]
-    df = frame(spark, [(1, " ".join(words))])
-    model = L.fit_model(L.word_counts(df, "text", F.lit(True)), L.vocabulary(), 3)
-    share = math.exp(model.log_parts) / (1 - math.exp(model.log_end))
-    assert share == pytest.approx(0.5, abs=0.02)
+def plain_marginal(word: bytes, probs: dict[bytes, float]) -> float:
+    """The sum over all segmentations of a word with its leading space, by the plain forward recursion."""
+    text = b" " + word
+    alpha = [1.0] + [0.0] * len(text)
+    for j in range(1, len(text) + 1):
+        alpha[j] = sum(alpha[i] * probs[text[i:j]] for i in range(j) if text[i:j] in probs)
+    return alpha[-1]
+
+
+def test_a_known_word_scores_its_marginal_over_segmentations(spark):
+    """However often a word was seen, its probability is that of its segmentations into vocabulary pieces."""
+    df = frame(spark, [(i, "same same same same rareword") for i in range(30)])
+    counts = L.word_counts(df, "text", F.lit(True))
+    pieces = L.vocabulary()
+    model = L.fit_model(counts, pieces, 2)
+    probs = dict(zip(pieces, np.exp(model.log_probs)))
+    scored = {bytes(r.word): r.lm for r in L.word_scores(counts, pieces, model).collect()}
+    for word in (b"same", b"rareword"):
+        assert scored[word] == pytest.approx(math.log10(plain_marginal(word, probs) * math.exp(model.log_word)))
+    assert scored[b""] == pytest.approx(model.log_end / math.log(10))
