@@ -29,24 +29,36 @@ from pyspark.sql import types as T
 from citylens.llm._tables import bytes_of, documents, fresh, slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Positions of a piece whose matches are held at once, pieces and pairs memoised per worker.
+#: Positions of a piece whose matches are held at once; pieces of a generation of the memo, pairs memoised per worker.
 WINDOW = 4096
+GENERATION = 150_000
 MEMO = 250_000
 
 
 class _Pieces(dict):
-    """Memo of encoded pieces; long ones are encoded anew each time."""
+    """Memo of encoded pieces; long ones are encoded anew each time.
+
+    A full memo becomes the generation before; pieces that are met again are taken over from it, so those in use stay
+    and those met once are forgotten.
+    """
 
     def __init__(self, bpe: "ByteBpe") -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.before = bpe, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.bpe.encode_piece(piece.encode())
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.bpe.encode_piece(piece.encode())
         if len(piece) < 64:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > GENERATION:
+            self.before = dict(self)
+            self.clear()
+
 
 class ByteBpe:
     """The vocabulary of a rank file (lines of base64 token and rank)."""
@@ -57,10 +69,16 @@ class ByteBpe:
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
+        # per token: its length, and its longest proper prefix that is a token (-1: none)
+        slots = max(self.tokens) + 1
+        self.size, self.shorter = [0] * slots, [-1] * slots
         for token, i in self.ids.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
+            self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
+            self.size[i] = len(token)
+            self.shorter[i] = next((self.ids[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids), -1)
         self.automaton.make_automaton()
         self._parts: dict[int, tuple[int, int] | None] = {}
+        self._edges: dict[tuple[int, int], list[tuple[int, bytes, float]]] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._pieces = _Pieces(self)
 
@@ -83,15 +101,19 @@ class ByteBpe:
             self._parts[token] = (symbols[0], symbols[1]) if len(symbols) == 2 else None
         return self._parts[token]
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
-        """The tokens along one edge of the merge tree, each with the rank of the merge that consumes it."""
-        edge, consumer = [], float("inf")
-        while True:
-            edge.append((token, consumer))
-            parts = self.parts(token)
-            if parts is None:
-                return edge
-            consumer, token = token, parts[side]
+    def _edge(self, token: int, side: int) -> list[tuple[int, bytes, float]]:
+        """The tokens along one edge of the merge tree with their bytes and the rank of the merge that consumes each."""
+        start = (token, side)
+        edge = self._edges.get(start)
+        if edge is None:
+            edge, consumer = self._edges.setdefault(start, []), float("inf")
+            while True:
+                edge.append((token, self.tokens[token], consumer))
+                parts = self.parts(token)
+                if parts is None:
+                    break
+                consumer, token = token, parts[side]
+        return edge
 
     def keeps_apart(self, left: int, right: int) -> bool:
         """Whether the merges of ``left + right`` give back exactly these two tokens.
@@ -103,9 +125,9 @@ class ByteBpe:
         known = self._apart.get(pair)
         if known is None:
             known = True
-            for x, consumer_x in self._edge(left, 1):
-                for y, consumer_y in self._edge(right, 0):
-                    merged = self.ids.get(self.tokens[x] + self.tokens[y])
+            for x, bytes_x, consumer_x in self._edge(left, 1):
+                for y, bytes_y, consumer_y in self._edge(right, 0):
+                    merged = self.ids.get(bytes_x + bytes_y)
                     if merged is not None and self.parts(merged) == (x, y) and merged < consumer_x and merged <= consumer_y:
                         known = False
             if len(self._apart) >= MEMO:
@@ -115,24 +137,25 @@ class ByteBpe:
 
     # -- encoding -----------------------------------------------------------------
 
-    def _matches(self, text: str) -> "list[list[tuple[int, int]]]":
-        """Per position the tokens that start there, as (length, id), shortest first."""
-        found: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, (length, i) in self.automaton.iter(text):
-            found[end - length + 1].append((length, i))
+    def _longest(self, text: str) -> list[int]:
+        """Per position the longest token that starts there."""
+        found = [-1] * len(text)
+        # matches come by their end, so of one start the longest comes last
+        for end, (before, i) in self.automaton.iter(text):
+            found[end - before] = i
         return found
 
-    def _windowed(self, text: str) -> Callable[[int], list[tuple[int, int]]]:
-        """``_matches`` by position for a long piece, a few windows held at a time."""
-        windows: dict[int, list[list[tuple[int, int]]]] = {}
+    def _windowed(self, text: str) -> Callable[[int], int]:
+        """``_longest`` by position for a long piece, a few windows held at a time."""
+        windows: dict[int, list[int]] = {}
 
-        def at(position: int) -> list[tuple[int, int]]:
+        def at(position: int) -> int:
             number, offset = divmod(position, WINDOW)
             if number not in windows:
                 if len(windows) > 2:
                     windows.clear()
                 start = number * WINDOW
-                windows[number] = self._matches(text[start : start + WINDOW + self.longest])[:WINDOW]
+                windows[number] = self._longest(text[start : start + WINDOW + self.longest])[:WINDOW]
             return windows[number][offset]
 
         return at
@@ -143,33 +166,34 @@ class ByteBpe:
         if whole is not None:
             return (whole,)
         text, n = piece.decode("latin-1"), len(piece)
-        at = self._matches(text).__getitem__ if n <= WINDOW else self._windowed(text)
+        at = self._longest(text).__getitem__ if n <= WINDOW else self._windowed(text)
+        size, shorter, apart = self.size, self.shorter, self._apart
         ids: list[int] = []
-        tries: list[int] = []  # per token taken: how many longer ones were passed over
         dead: set[int] = set()
-        position, skip, apart = 0, 0, self._apart
-        while position < n:
-            options = at(position)
+        position, token = 0, at(0)
+        while True:
             last = ids[-1] if ids else None
-            for k in range(len(options) - 1 - skip, -1, -1):
-                length, token = options[k]
-                if position + length in dead:
-                    continue
-                if last is None or (apart[last, token] if (last, token) in apart else self.keeps_apart(last, token)):
-                    ids.append(token)
-                    tries.append(len(options) - 1 - k)
-                    position, skip = position + length, 0
+            # from the longest token on, each next one is the longest token that is its prefix
+            while token >= 0:
+                if position + size[token] not in dead and (
+                    last is None or (apart[last, token] if (last, token) in apart else self.keeps_apart(last, token))
+                ):
                     break
+                token = shorter[token]
+            if token >= 0:
+                ids.append(token)
+                position += size[token]
+                if position == n:
+                    return tuple(ids)
+                token = at(position)
             else:
                 dead.add(position)
                 token = ids.pop()
-                position -= len(self.tokens[token])
-                skip = tries.pop() + 1
-        return tuple(ids)
+                position -= size[token]
+                token = shorter[token]
 
     def encode(self, text: str) -> list[int]:
-        if len(self._pieces) > MEMO:
-            self._pieces.clear()
+        self._pieces.age()
         return list(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids) -> bytes:
