@@ -12,6 +12,8 @@ The flight runs in blocks of bounded size, so that a source that holds a
 third of all rows is many tasks; the few undecided documents of the blocks
 fly on together, level by level, until one block per source is left, whose
 last documents land (the document count is given up first, then the words).
+A block's documents fly from the largest to the smallest, so that what is
+left for the landing is small.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ from citylens.llm._tables import WORD_CLASS, documents, slices, stored, text_of
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Documents of one block of the flight.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
+#: Undecided documents in hand at a time; a block may be larger (rows that repeat share a block).
+IN_HAND = 1024
+#: Of the words the others can move at landing, a larger share for one document gives up the number of documents.
+HEAVY_SHARE = 0.25
 EPS = 1e-9
 
 
@@ -69,78 +75,150 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
 
 
 class _Flight:
-    """The flight phase of one block, one document at a time; at most three are in hand."""
+    """The flight phase of one block, whose documents come largest first.
+
+    At most ``in_hand`` documents are undecided at a time.  Each step settles
+    the largest of them as far as the others can make up for it: it moves by
+    one, and the others by the share of the opposite move that their
+    probabilities leave room for, so that documents and words stay as they
+    are.  Large documents are thus decided while there are others to balance
+    them, and small ones are left for the landing.
+    """
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, in_hand: int = IN_HAND) -> None:
         self.random = np.random.Generator(np.random.PCG64(seed))
-        self.hand: list[list] = []  # [row, size, probability]
-
-    def add(self, row: int, size: float, probability: float) -> Iterator[tuple[int, int]]:
-        """Take one document in hand; yields the documents decided by it as (row, 0 or 1)."""
-        self.hand.append([row, size, probability])
-        while True:
-            settled = [h for h in self.hand if h[2] < EPS or h[2] > 1 - EPS]
-            self.hand = [h for h in self.hand if EPS <= h[2] <= 1 - EPS]
-            for row, _, p in settled:
-                yield row, int(p > 0.5)
+        self.in_hand = in_hand
+        self.rows: list[int] = []
+        self.size, self.chance = np.zeros(0), np.zeros(0)
+
+    def add(self, row: int, size: float, chance: float) -> list[tuple[int, int]]:
+        """Take one document in hand; the documents decided by it as (row, 0 or 1)."""
+        if not EPS <= chance <= 1 - EPS:
+            return [(row, int(chance > 0.5))]
+        self.rows.append(row)
+        self.size, self.chance = np.append(self.size, size), np.append(self.chance, chance)
+        decided = []
+        while len(self.rows) > self.in_hand:
             direction = self._direction()
             if direction is None:
-                return
-            self._move(direction)
-
-    def _direction(self) -> tuple[float, ...] | None:
-        """A vector of the null space of (number, words) over the documents in hand."""
-        sizes = [h[1] for h in self.hand]
-        if len(sizes) == 2 and sizes[0] == sizes[1]:
-            return (1.0, -1.0)
-        if len(sizes) < 3:
+                break
+            decided += self._move(direction)
+        return decided
+
+    def _direction(self, words_only: bool = False) -> np.ndarray | None:
+        """A vector of the null space of (number, words), or of words alone, over the documents in hand."""
+        if len(self.rows) < 2:
+            return None
+        scale = self.size[0]
+        if scale <= 0:
+            return self._among(0)
+        x = self.size / scale
+        room = self.chance * (1 - self.chance)
+        room[0] = 0.0
+        n, first, second = room.sum(), room @ x, room @ (x * x)
+        if words_only:
+            others = room * x / second if second > 0 else None
+        elif x[-1] == 1.0:
+            return self._among(0)
+        elif x[1] == x[-1]:  # the others are of one size, which cannot balance this one
+            return self._among(1) if len(x) > 2 else None
+        else:
+            spread = n * second - first * first
+            others = room * ((second - first) + (n - first) * x) / spread if spread > EPS * n * second else None
+            if others is None:
+                return self._among(1)
+        if others is None:
             return None
-        a, b, c = sizes
-        if a == b == c:
-            return (1.0, -1.0, 0.0)
-        largest = max(abs(a - b), abs(b - c), abs(c - a))
-        return ((b - c) / largest, (c - a) / largest, (a - b) / largest)
-
-    def _move(self, direction: tuple[float, ...]) -> None:
-        up = down = np.inf
-        for (_, _, p), u in zip(self.hand, direction):
-            if u > 0:
-                up, down = min(up, (1 - p) / u), min(down, p / u)
-            elif u < 0:
-                up, down = min(up, p / -u), min(down, (1 - p) / -u)
-        step = up if self.random.random() * (up + down) < down else -down
-        for h, u in zip(self.hand, direction):
-            h[2] = min(1.0, max(0.0, h[2] + step * u))
-
-    def land(self) -> Iterator[tuple[int, int]]:
-        """Decide what is left: keep the words balanced first, then draw the last one."""
-        while len(self.hand) > 1:
-            a, b = self.hand[0], self.hand[1]
-            scale = max(a[1], b[1], 1.0)
-            rest, self.hand = self.hand[2:], self.hand[:2]
-            # without words either document can be moved freely
-            self._move((b[1] / scale, -a[1] / scale) if a[1] and b[1] else ((1.0, 0.0) if not a[1] else (0.0, 1.0)))
-            self.hand += rest
-            for row, _, p in [h for h in self.hand if h[2] < EPS or h[2] > 1 - EPS]:
-                yield row, int(p > 0.5)
-            self.hand = [h for h in self.hand if EPS <= h[2] <= 1 - EPS]
-        for row, _, p in self.hand:
-            yield row, int(self.random.random() < p)
-        self.hand = []
-
-
-def _fly(rows: DataFrame, level: int, land: bool) -> DataFrame:
-    """One level of the flight over rows sorted into blocks; ``extra`` is 0/1, or NULL where still undecided."""
+        direction = -others
+        direction[0] = 1.0
+        return direction
+
+    def _among(self, lead: int) -> np.ndarray:
+        """The document at ``lead`` against the later ones of its size."""
+        same = (self.size == self.size[lead]) & (np.arange(len(self.size)) > lead)
+        if not same.any():  # sizes too close to be told apart by the sums: the two next ones and the last
+            a, b, c = self.size[lead], self.size[lead + 1], self.size[-1]
+            direction = np.zeros(len(self.size))
+            direction[lead], direction[lead + 1], direction[-1] = (b - c) / (a - c), -1.0, (a - b) / (a - c)
+            return direction
+        room = np.where(same, self.chance * (1 - self.chance), 0.0)
+        direction = -room / room.sum()
+        direction[lead] = 1.0
+        return direction
+
+    def _move(self, direction: np.ndarray, rise: bool | None = None) -> list[tuple[int, int]]:
+        """One step along ``direction``, up (``rise``), down or, by default, drawn so that chances are kept."""
+        moving = np.flatnonzero(direction)
+        u, p = direction[moving], self.chance[moving]
+        up = np.where(u > 0, 1 - p, p) / np.abs(u)
+        down = np.where(u > 0, p, 1 - p) / np.abs(u)
+        high, low = up.argmin(), down.argmin()
+        if rise is None:
+            rise = bool(self.random.random() * (up[high] + down[low]) < down[low])
+        step, stop = (up[high], high) if rise else (-down[low], low)
+        self.chance[moving] = np.clip(p + step * u, 0.0, 1.0)
+        self.chance[moving[stop]] = float((u[stop] > 0) == rise)
+        return self._settled()
+
+    def _settled(self) -> list[tuple[int, int]]:
+        done = (self.chance < EPS) | (self.chance > 1 - EPS)
+        decided = [(self.rows[i], int(self.chance[i] > 0.5)) for i in np.flatnonzero(done)]
+        self.rows = [row for row, d in zip(self.rows, done.tolist()) if not d]
+        self.size, self.chance = self.size[~done], self.chance[~done]
+        return decided
+
+    def finish(self) -> list[tuple[int, int]]:
+        """Fly on until at most two documents are undecided."""
+        decided = []
+        while len(self.rows) > 1 and (direction := self._direction()) is not None:
+            decided += self._move(direction)
+        return decided
+
+    def _heavy(self) -> bool:
+        """Whether the largest document needs much of what the others can still make up for."""
+        p = self.chance
+        movable = self.size[1:] @ np.minimum(p[1:], 1 - p[1:])
+        return self.size[0] * max(p[0], 1 - p[0]) > HEAVY_SHARE * movable
+
+    def _only_way(self) -> bool | None:
+        """Up (True) or down, if the others can make up for the largest document's words in one of the two only."""
+        lead, others, p = self.size[0], self.size[1:], self.chance
+        up = others @ p[1:] >= lead * (1 - p[0])
+        down = others @ (1 - p[1:]) >= lead * p[0]
+        return bool(up) if up != down else None
+
+    def land(self) -> list[tuple[int, int]]:
+        """Decide what is left: the number of documents is given up first, then the words.
+
+        A document that the others can make up for in one way only goes that way.
+        """
+        decided = []
+        while self.rows:
+            direction, way = (None, self._only_way()) if self._heavy() else (self._direction(), None)
+            if direction is None:
+                direction = self._direction(words_only=True)
+            if direction is None:
+                self.chance[0] = float(self.random.random() < self.chance[0])
+                decided += self._settled()
+            else:
+                decided += self._move(direction, way)
+        return decided
+
+
+def _fly(rows: DataFrame, level: int) -> DataFrame:
+    """One level of the flight over rows sorted into blocks; ``extra`` is 0/1, or NULL where still undecided.
+
+    A source's only block (``land``) leaves nothing undecided.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flight, block, held = None, None, None
+        flight, block, lands, held = None, None, False, None
 
         def close() -> list[tuple[int, int | None, float]]:
             if flight is None:
                 return []
-            if land:
-                return [(row, extra, 0.0) for row, extra in flight.land()]
-            return [(row, None, p) for row, _, p in flight.hand]
+            decided = [(row, extra, 0.0) for row, extra in (flight.land() if lands else flight.finish())]
+            return decided + [(row, None, p) for row, p in zip(flight.rows, flight.chance.tolist())]
 
         def emit(table: pa.Table, decided: list[tuple[int, int | None, float]]) -> Iterator[pa.RecordBatch]:
             out = table.take(pa.array([row for row, _, _ in decided], pa.int64()))
@@ -154,23 +232,21 @@ def _fly(rows: DataFrame, level: int, land: bool) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-                for i, h in enumerate(flight.hand):
-                    h[0] = i
+                flight.rows = list(range(held.num_rows))
             first = table.num_rows - batch.num_rows
             decided: list[tuple[int, int | None, float]] = []
-            columns = [batch.column(c).to_pylist() for c in ("source", "block", "size", "pi")]
-            for i, (source, number, size, chance) in enumerate(zip(*columns), start=first):
+            columns = [batch.column(c).to_pylist() for c in ("source", "block", "size", "pi", "land")]
+            for i, (source, number, size, chance, only) in enumerate(zip(*columns), start=first):
                 if flight is None or block != (source, number):
                     decided += close()
-                    block = (source, number)
+                    block, lands = (source, number), only
                     flight = _Flight(xxhash.xxh64_intdigest(repr((level, block))))
                 decided += [(row, extra, 0.0) for row, extra in flight.add(i, float(size), chance)]
             if decided:
                 yield from emit(table, decided)
-            held = table.take(pa.array([h[0] for h in flight.hand], pa.int64())) if flight and flight.hand else None
+            held = table.take(pa.array(flight.rows, pa.int64())) if flight and flight.rows else None
         if held is not None:
-            for i, h in enumerate(flight.hand):
-                h[0] = i
+            flight.rows = list(range(held.num_rows))
             yield from emit(held, close())
 
     return rows.mapInArrow(run, rows.schema)
@@ -182,9 +258,10 @@ def _blocks(rows: DataFrame, counts: DataFrame, level: int, block_rows: int) ->
     dealt = (
         rows.join(counts, F.col("source").eqNullSafe(F.col("count_source")))
         .withColumn("block", F.pmod(F.xxhash64("row_hash", F.lit(level)), n_blocks).cast("long"))
+        .withColumn("land", n_blocks <= 1)
         .select(*rows.columns)
     )
-    return dealt.repartition("source", "block").sortWithinPartitions("source", "block", "row_hash", "size")
+    return dealt.repartition("source", "block").sortWithinPartitions("source", "block", F.desc("size"), "row_hash")
 
 
 def mix_sources(
@@ -227,14 +304,14 @@ def mix_sources(
         .withColumn("base", F.floor(ratio + EPS).cast("int"))
         .withColumn("pi", F.greatest(ratio - F.col("base"), F.lit(0.0)))
         .select("row", "source", "size", "row_hash", "source_size", "target", "base", "pi",
-                F.lit(None).cast("int").alias("extra"), F.lit(0).cast("long").alias("block"))
+                F.lit(None).cast("int").alias("extra"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("land"))
     )
     counts = targets.select(F.col("source").alias("count_source"), F.col("n_docs").alias("n_rows"))
     rows, level, decided = start, 0, []
     while True:
         largest = counts.agg(F.max("n_rows")).first()[0]
         last = largest is None or largest <= block_rows
-        flown = stored(_fly(_blocks(rows, counts, level, block_rows), level, land=last), f"mix-level{level}")
+        flown = stored(_fly(_blocks(rows, counts, level, block_rows), level), f"mix-level{level}")
         decided.append(flown.filter("extra IS NOT NULL"))
         if last:
             break
