@@ -149,18 +149,41 @@ class Code:
 # -- tokenizing -----------------------------------------------------------------------
 
 
+class Memo:
+    """Values by key; of two generations, the elder goes when the younger is full, so what is in use stays."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.young: dict[bytes, bytes | None] = {}
+        self.old: dict[bytes, bytes | None] = {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys without a value; those that have one are in the younger generation afterwards."""
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+        absent = keys - self.young.keys()
+        again = absent & self.old.keys()
+        self.young.update((key, self.old[key]) for key in again)
+        return sorted(absent - again)
+
+
 class LibraryWords:
     """Ids of white-space words by the tokenizers library.
 
     White space always separates the library's pre-tokens, so a text's ids are
-    those of its words.  Words that are one run of letters, one of marks, or
-    both in this order go to the library many at a time: their pre-tokens are
-    told apart by the word-end marks.  All others go one by one.
+    those of its words.  A word that is one run of letters, one of marks, or
+    both in this order is one or two pre-tokens, whose ids are kept: a word
+    shares them with the same word before a comma or, if the library
+    lower-cases, at the start of a sentence.  Unknown ones go to the library
+    many at a time and are told apart by the word-end marks.  All other words
+    go one by one.
     """
 
     CHUNK = 1000
+    #: Kept pre-tokens.
+    LIMIT = 800_000
     #: Without the apostrophe, which may open a pre-token of its own.
-    MARKS = "".join(c for c in string.punctuation if c != "'")
+    MARKS = "".join(c for c in string.punctuation if c != "'").encode()
 
     def __init__(self, data: str) -> None:
         from tokenizers import Tokenizer
@@ -170,32 +193,45 @@ class LibraryWords:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # equal ids of single letters could be those of an unknown one, so pairs are asked as well
+        upper = [a + b for a in string.ascii_uppercase for b in ("", "e", "N")]
+        self.lowers = self._each(upper) == self._each([w.lower() for w in upper])
+        self.memo = Memo(self.LIMIT)
 
     def _each(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def values_of(self, raw: list[bytes]) -> list[list[int]]:
-        words = [w.decode("utf-8", "replace") for w in raw]
-        bare = [w.rstrip(self.MARKS) for w in words]
-        parts = [(bool(b) + (len(b) < len(w))) if not b or b.isalpha() else 0 for w, b in zip(words, bare)]
-        out: list = [None] * len(words)
-        simple = [i for i, p in enumerate(parts) if p]
-        for start in range(0, len(simple), self.CHUNK):
-            chunk = simple[start : start + self.CHUNK]
-            ids = np.array(self._each([" ".join(words[i] for i in chunk)])[0], dtype=np.int64)
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Keep the ids of pre-tokens, packed as 32-bit integers; None for what may be several or part of one."""
+        known = self.memo.young
+        whole = []
+        for piece in pieces:
+            if piece.decode("utf-8", "replace").isalpha() or not piece.strip(self.MARKS):
+                whole.append(piece)
+            else:
+                known[piece] = None
+        for start in range(0, len(whole), self.CHUNK):
+            chunk = whole[start : start + self.CHUNK]
+            ids = np.array(self._each([b" ".join(chunk).decode()])[0], dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            wanted = np.cumsum([parts[i] for i in chunk])
-            # a word has at least its parts, so equal sums mean equal parts throughout
-            if len(ends) == wanted[-1]:
-                cuts = ends[wanted - 1].tolist()
-                flat = ids.tolist()
-                for i, a, b in zip(chunk, [0, *cuts[:-1]], cuts):
-                    out[i] = flat[a:b]
+            # each is at least one pre-token, so as many ends mean one each
+            if len(ends) == len(chunk):
+                packed, cuts = ids.tobytes(), (4 * ends).tolist()
+                found = [packed[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
             else:
-                for i, found in zip(chunk, self._each([words[i] for i in chunk])):
-                    out[i] = found
-        rest = [i for i, p in enumerate(parts) if not p]
-        for i, found in zip(rest, self._each([words[i] for i in rest])):
+                found = [np.array(one, dtype="<u4").tobytes() for one in self._each([p.decode() for p in chunk])]
+            known.update(zip(chunk, found))
+
+    def values_of(self, raw: list[bytes]) -> list:
+        bare = [w.rstrip(self.MARKS) for w in raw]
+        marks = [w[len(b) :] for w, b in zip(raw, bare)]
+        keys = [b.lower() for b in bare] if self.lowers else bare  # bytes lower-case A-Z only
+        self._learn(self.memo.missing({*keys, *marks} - {b""}))
+        known = self.memo.young
+        known[b""] = b""
+        out = [None if (k := known[key]) is None else memoryview(k + known[m]).cast("I") for key, m in zip(keys, marks)]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(rest, self._each([raw[i].decode("utf-8", "replace") for i in rest])):
             out[i] = found
         return out
 
@@ -208,7 +244,7 @@ def _word_table(data: str) -> WordTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
     if hash(data) not in _WORDS:
         _WORDS.clear()
-        _WORDS[hash(data)] = WordTable(LibraryWords(data).values_of, 200_000)
+        _WORDS[hash(data)] = WordTable(LibraryWords(data).values_of)
     return _WORDS[hash(data)]
 
 
