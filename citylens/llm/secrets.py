@@ -140,7 +140,8 @@ def scan(df: DataFrame, ledger_path: str, text_col: str = "text", rules: Sequenc
     Blobs are distinct before they are looked at, partly so in every task, so
     many copies of one text cost one row per task.  Only unseen (blob, rule,
     version) triples are scanned; what is found, and that nothing was found,
-    is appended in one write.
+    is appended in one write.  NULL text is the empty blob; an empty table adds
+    nothing to the ledger.
     """
     spark = df.sparkSession
     blobs = df.select(blob_of(text_of(text_col)).alias("blob"), text_of(text_col).alias("text")).dropDuplicates(["blob"])
@@ -162,7 +163,9 @@ def findings(df: DataFrame, ledger: DataFrame, text_col: str = "text", rules: Se
              column: str = "found") -> DataFrame:
     """``df`` plus ``column``: per row the sorted ``(start, kind, end, rule)`` of all rules' spans in its text.
 
-    ``kind`` numbers the rules in the order given.
+    ``kind`` numbers the rules in the order given.  Every row stays, repeated
+    ones too; NULL and empty texts have an empty list, an empty table has no
+    rows.
     """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     rows = ledger.filter(_among(rules) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("s"))
