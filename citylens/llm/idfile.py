@@ -319,11 +319,11 @@ def id_counts(encoded: DataFrame, packed_type: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
-            for packed in batch.column("ids"):
-                found = np.bincount(np.frombuffer(packed.as_buffer(), dtype=packed_type), minlength=len(total))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
-                total += found
+            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=packed_type)
+            found = np.bincount(flat, minlength=len(total))
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
+            total += found
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
