@@ -28,12 +28,19 @@ _EXACT = 2**53
 def header_index(spark: SparkSession, path: str | list[str], glob: str = "*.csv*") -> DataFrame:
     """``(file, header)``: the first line of every file below the path; empty files have none.
 
-    Lines are counted in the first block of each file only, as plain text.
+    Lines are looked at in the first block of each file only, as plain text.  The first of many texts is found by
+    sorting all lines of a block, the first of many numbers in place: so one pass keeps the hash of each file's first
+    line, and a second the lines of that hash.
     """
     lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    first = lines.filter(F.col("_metadata.file_block_start") == 0)
+    first = lines.filter(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"),
+        F.xxhash64("value").alias("hash"), F.length("value").alias("length"),
+    )
     # a block is read by one task in order, so its first line is the file's
-    return first.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("header"))
+    heads = first.groupBy("file").agg(F.first("hash").alias("hash"), F.first("length").alias("length"))
+    # one row per file is small enough for every task; a line that comes again is one row, so one per file is left
+    return first.join(F.broadcast(heads), ["file", "hash", "length"]).select("file", "header").distinct()
 
 
 def layouts(spark: SparkSession, path: str | list[str], glob: str = "*.csv*") -> dict[str, list[str]]:

@@ -153,6 +153,14 @@ def test_mixed_folder(spark, tmp_path):
     assert dict(given.dtypes)["House"] == "int" and given.filter("House IS NULL").count() == 2
 
 
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path):
+    root = _files(tmp_path, a="x,y\n1,2\nx,y\n1,2\n", b="\nx,y\n1,2\n", c="y,x\r\n2,1\r\n", bad="")
+    found = header_index(spark, root)
+    assert sorted((r.file.split("/")[-2], r.header) for r in found.collect()) == [("a", "x,y"), ("b", ""), ("c", "y,x")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan
+
+
 def test_mixed_folder_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="collide"):
         read_mixed_folder(spark, _files(tmp_path, a="A b,A  b\n1,2\n"))
