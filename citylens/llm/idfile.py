@@ -40,6 +40,8 @@ END_ID = 2
 MAX_BITS = 18
 BLOCK_IDS = 65_536
 CHECK_IDS = 128
+#: Blocks decoded in step by a reader.
+READ_BLOCKS = 8
 #: Documents per range of ids; ranges are the unit of sorting.
 BUCKET_DOCUMENTS = 8192
 
@@ -164,7 +166,7 @@ class Memo:
         absent = keys - self.young.keys()
         again = absent & self.old.keys()
         self.young.update((key, self.old[key]) for key in again)
-        return sorted(absent - again)
+        return list(absent - again)
 
 
 class LibraryWords:
@@ -222,19 +224,28 @@ class LibraryWords:
                 found = [np.array(one, dtype="<u4").tobytes() for one in self._each([p.decode() for p in chunk])]
             known.update(zip(chunk, found))
 
-    def values_of(self, raw: list[bytes]) -> list:
+    def packed_of(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers."""
         bare = [w.rstrip(self.MARKS) for w in raw]
         marks = [w[len(b) :] for w, b in zip(raw, bare)]
         keys = [b.lower() for b in bare] if self.lowers else bare  # bytes lower-case A-Z only
         self._learn(self.memo.missing({*keys, *marks} - {b""}))
         known = self.memo.young
         known[b""] = b""
-        out = [None if (k := known[key]) is None else memoryview(k + known[m]).cast("I") for key, m in zip(keys, marks)]
-        rest = [i for i, ids in enumerate(out) if ids is None]
+        rest = [i for i, key in enumerate(keys) if known[key] is None]
+        for i in rest:
+            keys[i] = b""
+        out = [known[key] + known[m] for key, m in zip(keys, marks)]
         for i, found in zip(rest, self._each([raw[i].decode("utf-8", "replace") for i in rest])):
-            out[i] = found
+            out[i] = np.array(found, dtype="<u4").tobytes()
         return out
 
+    def values_of(self, raw: list[bytes]) -> list[memoryview]:
+        return [memoryview(ids).cast("I") for ids in self.packed_of(raw)]
+
+
+#: Words numbered by a worker.
+WORDS = 600_000
 
 _WORDS: dict[int, WordTable] = {}
 
@@ -244,7 +255,7 @@ def _word_table(data: str) -> WordTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
     if hash(data) not in _WORDS:
         _WORDS.clear()
-        _WORDS[hash(data)] = WordTable(LibraryWords(data).values_of)
+        _WORDS[hash(data)] = WordTable(LibraryWords(data).packed_of, WORDS)
     return _WORDS[hash(data)]
 
 
@@ -435,15 +446,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(*shared.value)
-        for batch in slices(batches, 1):
-            row = batch.to_pylist()[0]
-            lengths = np.array(row["doc_lengths"], dtype=np.int64)
-            flat = code.decode(row["payload"], row["checkpoints"], lengths).astype("<u4")
+        for batch in slices(batches, READ_BLOCKS):
+            # documents start at a byte, so blocks in a row are a longer block
+            payload, checkpoints = (b"".join(batch.column(c).to_pylist()) for c in ("payload", "checkpoints"))
+            doc_ids, sizes = batch.column("doc_ids"), batch.column("doc_lengths")
+            lengths, per_block = sizes.flatten().to_numpy(), sizes.value_lengths().to_numpy()
+            flat = code.decode(payload, checkpoints, lengths).astype("<u4")
             ends = np.cumsum(lengths)
+            n_ids = batch.column("n_ids").to_numpy()
+            before = np.repeat(batch.column("before").to_numpy() - (np.cumsum(n_ids) - n_ids), per_block)
             packed = [flat[a:b].tobytes() for a, b in zip(ends - lengths, ends)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["bucket"]] * len(lengths), pa.int64()), pa.array(row["doc_ids"], pa.int64()),
-                 pa.array(row["before"] + ends - lengths), pa.array(lengths), pa.array(packed, pa.binary())],
+                [pa.array(np.repeat(batch.column("bucket").to_numpy(), per_block)), doc_ids.flatten(),
+                 pa.array(before + ends - lengths), pa.array(lengths), pa.array(packed, pa.binary())],
                 names=["bucket", "doc_id", "offset", "n_tokens", "ids"],
             )
 

@@ -114,6 +114,15 @@ def test_words_equal_the_library():
         assert flat + [2] == library_ids(text)
 
 
+def test_words_are_learnt_packed():
+    words = I.LibraryWords(open(I.TOKENIZER, encoding="utf-8").read())
+    table = I.WordTable(words.packed_of, 3)  # forgets words between the calls
+    for text in ["Is it it's 4.5 x2, isn't it? foo-bar", "it is. 日本 Naïve \u00a0, --", "", "It IS. 4.5"]:
+        flat, owner = table.read([text.encode(), b"", text.encode()])
+        one = library_ids(text)[:-1]
+        assert flat.tolist() == one * 2 and owner.tolist() == [0] * len(one) + [2] * len(one)
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     want, _ = expected(rows)
