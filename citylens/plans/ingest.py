@@ -91,8 +91,9 @@ def csv_tickets_text(spark, sf):
     return back.select("summons_number", "registration_state", "issue_date", "violation_code", "street_name")
 
 
-#: Trips of one file: a month's trips are dealt over as many files as they need.
+#: Trips of one file: a month's trips are dealt over as many files as they need, two at least.
 ROWS_PER_FILE = 1_000_000
+LEAST_FILES = 2
 TRIP_LINE = ["vendor_id", "pickup_ts", "dropoff_ts", "passenger_count", "fare_amount", "tip_amount"]
 
 
@@ -112,7 +113,7 @@ def _trip_lines(spark, sf, odd: str | None = None, torn: bool = False):
     if torn:
         short = F.concat_ws(",", *list(text.values())[:-1])
         line = F.when(F.col("passenger_count") == 0, short).when(F.col("passenger_count") == 5, F.concat(line, F.lit(",x"))).otherwise(line)
-    files = F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("files")
+    files = F.greatest(F.lit(LEAST_FILES), F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE)).alias("files")
     sized = trips.join(trips.groupBy("month").agg(files), "month")
     part = F.pmod(F.xxhash64(*TRIP_LINE), F.col("files")).cast("int")
     lines = sized.select("month", part.alias("part"), F.lit(2).alias("kind"), line.alias("line"))
